@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from phonora.llm.common import map_arrow
 
@@ -265,3 +266,29 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return map_arrow(encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")), run, f"doc_id {kind}, text string")
+
+
+def transcode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with text decoded from its own ids, plus n_pieces and piece_ids.
+
+    A null text stays null and has no ids.  Names that ``docs`` has already get underscores behind them.
+    """
+    path, at = path or vocabulary_path(), docs.columns.index("text")
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("n_pieces", "piece_ids"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pieces = load(path)
+        given = batch.column(at).to_pylist()
+        ids = pieces.encode([t or "" for t in given])
+        texts = pa.array([None if t is None else pieces.decode(x).decode(errors="replace") for t, x in zip(given, ids, strict=True)], pa.string())
+        batch = batch.set_column(at, batch.schema.field(at), texts)
+        columns = [*batch.columns, pa.array([len(x) for x in ids], pa.int64()), lists(ids)]
+        return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
+
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*docs.schema.fields, StructField(names[0], LongType()), StructField(names[1], ArrayType(IntegerType()))])
+    return map_arrow(docs, run, schema)
