@@ -80,7 +80,7 @@ def _rate(part: Column, s: Column, kind: str) -> Column:
 def action_name(code: Column) -> Column:
     """Names of the action numbers 0, 1, 2; any other number is an error."""
     known = F.array(*map(F.lit, ("insertion", "deletion", "substitution")))
-    return F.when(code.between(0, 2), F.try_element_at(known, code + 1)).otherwise(F.raise_error(F.concat(F.lit("no action "), code.cast("string"))).cast("string"))
+    return F.when(code.between(0, 2), F.try_element_at(known, (code + 1).cast("int"))).otherwise(F.raise_error(F.concat(F.lit("no action "), code.cast("string"))).cast("string"))
 
 
 # Kernels on numpy arrays for the operations that need a backward trace or weights.

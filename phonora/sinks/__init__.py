@@ -47,7 +47,7 @@ def results_document(rated: DataFrame, meta: dict) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("classifier", "error_rate")))).alias("error_rates"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("classifier"), stats.alias("s"))))).alias("error_statistics"),
     )
-    body = F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", F.struct("error_rates", "error_statistics").alias("r")))))
+    body = F.map_from_entries(F.collect_list(F.struct("language", F.struct("error_rates", "error_statistics").alias("r"))))
     head = [F.lit(str(v)).alias(k) for k, v in meta.items()]
     return one.agg(body.alias("results")).select(F.to_json(F.struct(*head, "results")).alias("value"))
 
