@@ -25,9 +25,11 @@ SHINGLE, SIMILARITY = 8, 0.8
 #: Bands and rows of each: a pair of similarity 0.8 shares a band with probability 0.985, one of 0.9 with 0.9998.
 BANDS, ROWS = 8, 4
 #: Lines of one band that one task compares; larger sets are cut into pairs of tiles.
-TILE = 2048
+TILE = 512
+#: Characters of a set of lines up to which the shingles of all its lines are held at a time.
+HELD = 2_000_000
 #: Characters hashed in one pass; line ids that a task remembers so as not to send copies again.
-PASS, REMEMBER = 1 << 18, 1 << 18
+PASS, REMEMBER = 1 << 18, 1 << 17
 _A = np.random.default_rng(1).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = np.random.default_rng(2).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
@@ -180,23 +182,48 @@ def link(texts: list[str], similarity: float = SIMILARITY) -> np.ndarray:
         x, y = map(shingles, texts)
         both = len(x & y)
         return np.array([0, 0 if both >= similarity * (len(x) + len(y) - both) - 1e-9 else 1])
-    ids: dict[str, int] = {}
-    sets = [np.array([ids.setdefault(s, len(ids)) for s in shingles(t)]) for t in texts]
-    size = np.array([len(s) for s in sets])
-    flat, offsets = np.concatenate(sets), np.cumsum(size) - size
     label, open_ = np.arange(len(texts)), np.ones(len(texts), bool)
-    flag = np.zeros(len(ids), np.int64)
+    near_of = _all_at_once(texts, similarity) if sum(map(len, texts)) <= HELD else _one_by_one(texts, similarity)
     while True:
         names, counts = np.unique(label[open_], return_counts=True)
         if len(names) < 2:
             return label
         i = int(np.flatnonzero(open_ & (label == names[counts.argmin()]))[0])
         open_[i] = False
+        near = near_of(i, np.flatnonzero(label != label[i]))
+        label = local_roots(np.full(len(near), label[i]), label[near], len(texts))[label]
+
+
+def _all_at_once(texts: list[str], similarity: float):
+    """Which of ``others`` are similar to line ``i``; shingles of all lines are numbered and held."""
+    ids: dict[str, int] = {}
+    sets = [np.array([ids.setdefault(s, len(ids)) for s in shingles(t)], np.int32) for t in texts]
+    size = np.array([len(s) for s in sets])
+    flat, offsets = np.concatenate(sets), np.cumsum(size) - size
+    flag = np.zeros(len(ids), np.int32)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
         flag[sets[i]] = 1
-        both = np.add.reduceat(flag[flat], offsets)
+        both = np.add.reduceat(flag[flat], offsets)[others]
         flag[sets[i]] = 0
-        near = np.flatnonzero(both >= similarity * (size + size[i] - both) - 1e-9)
-        label = local_roots(np.full(len(near), label[i]), label[near], len(texts))[label]
+        return others[both >= similarity * (size[others] + size[i] - both) - 1e-9]
+
+    return near
+
+
+def _one_by_one(texts: list[str], similarity: float):
+    """The same with the shingles of two lines at a time, for sets of very long lines."""
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        mine, found = shingles(texts[i]), []
+        for j in others.tolist():
+            other = shingles(texts[j])
+            both = len(mine & other)
+            if both >= similarity * (len(mine) + len(other) - both) - 1e-9:
+                found.append(j)
+        return np.array(found, np.int64)
+
+    return near
 
 
 def _verify(similarity: float):
