@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonora.llm.common import map_arrow, text_buffers
+from phonora.llm.common import fresh, map_arrow, text_buffers
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block.
@@ -236,8 +236,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             return batch.filter(pa.array([h == 0 or 20 * h < x[0] for h, x in zip(n_hit, found, strict=True)], pa.bool_()))
 
         return map_arrow(docs, run, docs.schema)
-    bad = contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, window, block_bytes).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
+    (bad,) = fresh(docs, "_bad")
+    found = contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, window, block_bytes)
+    found = found.filter("contaminated").select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.xxhash64("doc_id", "text") == F.col(bad), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

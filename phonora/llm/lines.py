@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonora.llm.common import bounded_batches, durable, text_buffers
+from phonora.llm.common import bounded_batches, durable, fresh, text_buffers
 from phonora.llm.components import components, local_roots
 from phonora.llm.tiles import BROADCAST_KEYS, by_group
 
@@ -290,12 +290,6 @@ def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE
     return lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
 
 
-def _with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    lost = lost.select(F.col("doc_id").alias("_lost_doc"), F.col("text_hash").alias("_lost_hash"), F.col("lost").alias("_lost_pos"))
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_lost_hash"))
-    return docs.join(lost, key, "left")
-
-
 def report(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(doc_id, n_lines, n_lost, lost) for every row of ``docs``: lines that are not blank, and the positions that go.
 
@@ -316,11 +310,15 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) ->
     A document that loses lines and has no other line than blank ones goes.
     """
     columns = docs.columns
-    out = _with_lost(docs, lost_lines(docs, similarity, tile))
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("_lost_pos", i))
-    out = out.withColumn("_text", F.when(F.col("_lost_pos").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n")))
-    out = out.filter("_lost_pos is null or length(trim(replace(_text, '\n', ''))) > 0").withColumn("text", F.col("_text"))
+    doc, text_hash, gone, new = fresh(docs, "_lost_doc", "_lost_hash", "_lost_pos", "_new_text")
+    lost = lost_lines(docs, similarity, tile).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("lost").alias(gone))
+    text = F.col("text").cast("string")
+    out = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(text_hash)), "left")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i))
+    same = F.col(gone).isNull()
+    out = out.withColumn(new, F.when(same, text).otherwise(F.array_join(kept, "\n")))
+    out = out.filter(same | (F.length(F.trim(F.replace(F.col(new), F.lit("\n"), F.lit("")))) > 0)).withColumn("text", F.col(new))
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_lost_pos").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length(new).cast(kind)))
     return out.select(*columns)

@@ -205,15 +205,23 @@ def _labels(places: list[tuple[int, int]], tokens: list[str], spans: list[tuple[
     return out
 
 
+def _doubtful(tokens: list[str], labels: str) -> bool:
+    """Whether a token that may be tagged stands behind a credential word but no base pattern took it."""
+    return any(y == "O" and allowed(t) and any(w.lower() in WORDS for w in tokens[max(0, i - 3) : i]) for i, (t, y) in enumerate(zip(tokens, labels, strict=True)))
+
+
 def training_lines(texts: list[str], limit: int = LINES, seed: int = 5) -> list[tuple[list[str], str, list[str]]]:
-    """Labelled windows: base matches in the sample, other candidates of the sample, and lines made by rule."""
+    """Labelled windows: base matches in the sample, other candidates of the sample, and lines made by rule.
+
+    Windows whose label is doubtful are left out."""
     lines = []
     for text in texts:
         spans, of_file = base_spans(text), file_features(text)
         for low, high in segments(text):
             tokens, places = _tokens(text, low, high)
-            if len(tokens) <= 400 and len(lines) < limit:
-                lines.append((tokens, _labels(places, tokens, spans), of_file))
+            labels = _labels(places, tokens, spans)
+            if len(tokens) <= 400 and len(lines) < limit and not _doubtful(tokens, labels):
+                lines.append((tokens, labels, of_file))
     rng = np.random.default_rng(seed)
     pools = ["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
     make = lambda pool, n: "".join(rng.choice(list(pool), n))

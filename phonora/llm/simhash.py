@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phonora.llm.common import durable, map_arrow, text_buffers
+from phonora.llm.common import durable, fresh, map_arrow, text_buffers
 from phonora.llm.components import components, forest, local_roots
 from phonora.llm.tiles import by_group, deal
 
@@ -165,14 +165,16 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     Of each component the document named by component_id stays, and of repeated rows (equal doc_id
     and text) one.  Rows without a doc_id stay unless they are near a row that has one.
     """
+    doc, text, lost, row = fresh(docs, "_doc", "_text", "_lost", "_row")
     found = near_duplicates(docs, words, radius)
     found = found.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("_component"), F.count("*").alias("_n"))
-    change = durable(found.filter("_n > 1 or not (doc_id <=> _component)").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), (~F.col("doc_id").eqNullSafe(F.col("_component"))).alias("_lost")))
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    change = found.filter("_n > 1 or not (doc_id <=> _component)")
+    change = durable(change.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), (~F.col("doc_id").eqNullSafe(F.col("_component"))).alias(lost)))
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text))
     kept = docs.join(change, key, "left_anti")
-    repeated = change.filter("not _lost")
+    repeated = change.filter(~F.col(lost))
     if repeated.limit(1).count():
-        w = W.partitionBy("_doc", "_hash").orderBy(F.lit(1))
-        first = docs.join(repeated, key).withColumn("_row", F.row_number().over(w)).filter("_row = 1")
+        w = W.partitionBy(doc, text).orderBy(F.lit(1))
+        first = docs.join(repeated, key).withColumn(row, F.row_number().over(w)).filter(F.col(row) == 1)
         kept = kept.unionByName(first.select(*docs.columns))
     return kept
