@@ -1,11 +1,14 @@
-"""Command line: features, evaluate, edits, error-rates, stats."""
+"""Command line: features, evaluate, edits, error-rates, transcribe, lengths, stats, meta."""
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from phonora import sinks, sources
-from phonora.operators import evaluate
+from phonora.functions import g2p, numeric
+from phonora.operators import corpus, evaluate
 from phonora.plans import runs
 from phonora.schemas import FEATURE_START
 from phonora.session import build_session
@@ -34,6 +37,21 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("stats", help="utterances and durations of stored lengths")
     s.add_argument("lengths")
     s.add_argument("--sample-rate", type=int, default=16_000)
+    t = sub.add_parser("transcribe", help="phones of a corpus of clips by registered engines")
+    t.add_argument("corpus")
+    t.add_argument("output")
+    t.add_argument("--engines", nargs="+", default=["letters"])
+    t.add_argument("--languages", nargs="*")
+    t.add_argument("--include-other", action="store_true")
+    t.add_argument("--validation-limit")
+    n = sub.add_parser("lengths", help="frame counts of the WAVE files of a corpus")
+    n.add_argument("audio")
+    n.add_argument("output")
+    n.add_argument("--split", default="test")
+    n.add_argument("--sample-rate", type=int, default=16_000)
+    n.add_argument("--stride", type=int)
+    m = sub.add_parser("meta", help="locales of a release")
+    m.add_argument("file")
     a = p.parse_args(argv)
     spark = build_session()
     if a.command == "features":
@@ -50,6 +68,17 @@ def main(argv: list[str] | None = None) -> None:
         rated = evaluate.languages_or_error(rated, a.languages) if a.languages else rated
         for row in sinks.report(evaluate.macro_averages(rated)).orderBy("kind", "line").collect():
             print(f"{row['kind']}: {row['line']}")
+    elif a.command == "transcribe":
+        rows = sources.read_splits(spark, a.corpus, a.include_other, corpus.parse_limits(a.validation_limit), a.languages)
+        spoken, _ = runs.transcribe(rows, [g2p.ENGINES[e] for e in a.engines])
+        sinks.write_transcriptions(spoken, a.output)
+    elif a.command == "lengths":
+        audio = sources.read_audio(spark, a.audio, a.sample_rate)
+        lang = F.coalesce(F.nullif(F.regexp_extract("path", r"([^/]+)/audio/[^/]+$", 1), F.lit("")), F.lit("und"))
+        rows = audio.select(F.lit(a.split).alias("split"), lang.alias("lang"), F.xxhash64("path").alias("pos"), numeric.frame_count(F.col("num_samples"), a.stride).cast("long").alias("length"))
+        sinks.write_lengths(rows, a.output)
+    elif a.command == "meta":
+        sources.locales(sources.read_release_meta(spark, a.file)).select("locale", "clips", "users", "validHrs").orderBy("locale").show(1000, truncate=False)
     else:
         for row in runs.statistics(sources.read_lengths(spark, a.lengths), a.sample_rate).orderBy("split").collect():
             print(row["split"], row["json"])

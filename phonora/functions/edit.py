@@ -92,6 +92,8 @@ def cost_matrix(a: Sequence, b: Sequence, insertion: float = 1.0, deletion: floa
     The first row counts in steps of one whatever an insertion costs.
     """
     m, n = len(a), len(b)
+    if table is None and insertion == deletion == 1:
+        return _unit_costs(a, b)
     d = np.zeros((m + 1, n + 1), np.float32)
     d[0] = np.arange(n + 1)
     for i in range(1, m + 1):
@@ -103,6 +105,21 @@ def cost_matrix(a: Sequence, b: Sequence, insertion: float = 1.0, deletion: floa
     return d
 
 
+def _unit_costs(a: Sequence, b: Sequence) -> np.ndarray:
+    """Costs of one for every edit, a row at a time: insertions along a row are a running minimum."""
+    ids: dict = {}
+    x = np.array([ids.setdefault(t, len(ids)) for t in a], np.int64)
+    y = np.array([ids.setdefault(t, len(ids)) for t in b], np.int64)
+    d = np.zeros((len(x) + 1, len(y) + 1), np.float32)
+    steps = np.arange(len(y) + 1, dtype=np.float32)
+    d[0] = steps
+    for i in range(1, len(x) + 1):
+        row = d[i - 1] + 1
+        np.minimum(row[1:], d[i - 1, :-1] + (y != x[i - 1]), out=row[1:])
+        d[i] = np.minimum.accumulate(row - steps) + steps
+    return d
+
+
 def trace(d: np.ndarray) -> list[tuple[int, int, int]]:
     """(action, i, j) from the end while the cost is not zero: 0 insertion, 1 deletion, 2 substitution, 3 match."""
     i, j = d.shape[0] - 1, d.shape[1] - 1
@@ -169,6 +186,24 @@ def matrix(df: DataFrame, expected: str, actual: str, out: str = "costs") -> Dat
     return df.mapInArrow(run, df.limit(0).selectExpr("*", f"cast(null as array<array<float>>) as {out}").schema)
 
 
+def statistics_arrow(df: DataFrame, expected: str, actual: str, out: str = "edits") -> DataFrame:
+    """``df`` with struct(insertions, deletions, substitutions, correct) from numpy, for long token arrays.
+
+    The fold in the JVM is quick for short arrays but copies a row for each cell of a long one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([(n, pa.int64()) for n in STATISTICS])
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column(expected).to_pylist(), batch.column(actual).to_pylist(), strict=True):
+                found.append(None if a is None or b is None else dict(zip(STATISTICS, counts(cost_matrix(a, b)), strict=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out])
+
+    fields = ", ".join(f"{n}: bigint" for n in STATISTICS)
+    return df.mapInArrow(run, df.limit(0).selectExpr("*", f"cast(null as struct<{fields}>) as {out}").schema)
+
+
 def weighted_statistics(df: DataFrame, expected: str, actual: str, table: dict[str, Sequence], insertion: float, deletion: float, out: str = "edits") -> DataFrame:
     """``df`` with edit statistics under property weights; ``table`` is a small dictionary of property vectors.
 

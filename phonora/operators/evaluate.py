@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonora.functions import edit, ipa
-from phonora.operators import remap
+from phonora.operators import remap, sets
 from phonora.operators.nearest import small
 
 TOTAL = "total"
@@ -64,6 +64,12 @@ def candidates(predictions: DataFrame, split_complex: bool = False, mapping: Dat
     return flat
 
 
+def only_classifiers(predictions: DataFrame, wanted: Sequence[str], available: Sequence[str]) -> DataFrame:
+    """Predictions of the wanted classifiers; one that is not available is an error."""
+    sets.missing_keys(wanted, available)
+    return predictions.withColumn("predictions", F.map_filter("predictions", lambda k, v: k.isin(list(wanted))))
+
+
 def best_of(scored: DataFrame, key: Sequence[str], rate: str, order: str, values: Sequence[str]) -> DataFrame:
     """Per key the values of the lowest rate, the first in order winning ties; rates that are null, NaN or infinite never win."""
     fine = scored.filter(F.col(rate).isNotNull() & ~F.isnan(rate) & (F.col(rate) < float("inf")))

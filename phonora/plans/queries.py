@@ -547,3 +547,11 @@ def q55_running_mean(spark: SparkSession, sf: str) -> DataFrame:
     rows = sequence.running_mean(table(spark, sf, "events"), "event_id", "value", ["user_id"])
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     return rows.withColumn("n", n.cast("long")).select("event_id", "n", F.round(F.col("running_mean") * F.col("n"), 2).alias("total"))
+
+
+@query()
+def q56_turn_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Edit statistics of whole neighbouring turns; the cost tables are too large for SQL."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", r"\s+").alias("a"))
+    turns = turns.withColumn("b", F.lead("a").over(W.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
+    return edit.statistics_arrow(turns, "a", "b").select("conv_id", "turn", "edits.*")

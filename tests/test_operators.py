@@ -231,3 +231,37 @@ def test_sets(spark):
     with pytest.raises(Exception, match="repeated b"):
         one = spark.createDataFrame([("a",), ("b",)], "k string")
         sets.union_unique(one, spark.createDataFrame([("b",)], "k string"), "k").collect()
+
+
+def test_indexer(spark, table):
+    from phonora.operators.indexer import Indexer
+
+    rows = table.withColumnRenamed("Phoneme", "phoneme")
+    x = Indexer(rows, ["tone", "nasal", "high"], ["high"], ["n", "a"])
+    assert [(r["idx"], r["phoneme"], r["features"]) for r in x.subset().orderBy("idx").collect()] == [(0, "n", ["0"]), (1, "a", ["-"])]
+    assert x.full().count() == 7 and x.full_of_subset().first()["features"] == ["0", "+", "0"]
+    assert {(r["value"], r["cat"]) for r in x.categories().collect()} == {("+", 0), ("-", 1), ("0", 2)}
+    assert {r["phoneme"]: r["cats"] for r in x.category_ids().collect()}["ai"] == [1, 0]
+    again = Indexer.from_state(spark, x.state())
+    assert sorted(map(str, again.subset().collect())) == sorted(map(str, x.subset().collect())) and again.full().count() == 7
+    assert [r["phoneme"] for r in x.composition(["i", "p"]).orderBy("idx").collect()] == ["i", "p"]
+
+
+def test_allophones(spark, table):
+    from phonora.operators.indexer import Indexer
+
+    phones = Indexer(table.withColumnRenamed("Phoneme", "phoneme"), ["nasal"]).full()
+    ids = {r["phoneme"]: r["idx"] for r in phones.collect()}
+    edges = vocabulary.allophone_edges(table.filter("ISO6393 = 'aaa'"), phones)
+    got = {(r["phoneme_idx"], r["phone_idx"]) for r in edges.collect()}
+    assert got == {(ids["p"], ids["p"]), (ids["p"], ids["pʰ"]), (ids["a"], ids["a"]), (ids["i"], ids["i"])}
+    logits = spark.createDataFrame([(0, "aaa", ids[p] + 1, v) for p, v in (("p", -2.0), ("pʰ", 1.0), ("a", 0.5))] + [(0, "aaa", 0, 0.1)], "frame int, lang string, phone_idx int, logit double")
+    out = {r["phoneme_idx"]: r["logit"] for r in vocabulary.map_allophones(logits, vocabulary.with_blank(edges), ["frame"]).collect()}
+    assert out == {0: 0.1, ids["p"] + 1: 1.0, ids["a"] + 1: 0.5}
+
+
+def test_classifier_subset(spark):
+    rows = spark.createDataFrame([({"a": [["x"]], "b": [["y"]]},)], "predictions map<string, array<array<string>>>")
+    assert list(evaluate.only_classifiers(rows, ["a"], ["a", "b"]).first()["predictions"]) == ["a"]
+    with pytest.raises(KeyError):
+        evaluate.only_classifiers(rows, ["q"], ["a"])
