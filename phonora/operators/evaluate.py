@@ -83,7 +83,8 @@ def sums(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def complete(df: DataFrame, languages: DataFrame, classifiers: DataFrame) -> DataFrame:
     """Every pair of language and classifier, with zeros where nothing was added."""
-    grid = languages.select("language").distinct().join(F.broadcast(classifiers.select("classifier").distinct()), F.lit(True))
+    names = classifiers.agg(F.collect_set("classifier")).scalar()
+    grid = languages.select("language").distinct().withColumn("classifier", F.explode(names))
     return grid.join(df, ["language", "classifier"], "left").na.fill(0, list(edit.STATISTICS))
 
 

@@ -1,7 +1,8 @@
 """Nearest phones by Hamming distance over feature vectors.
 
-The target side is an inventory of at most a few thousand phones and is broadcast after its size has
-been checked; each source row takes its best target in one aggregation, so pairs are never sorted.
+The target side is an inventory of at most a few thousand phones.  It reaches the source rows as one array
+value (a scalar subquery), and each row finds its best target with array functions: there is no join of
+all pairs, nothing is shuffled, and a row of output is made per source only.
 """
 
 from __future__ import annotations
@@ -26,34 +27,45 @@ def with_base_count(features: Column, phoneme: Column) -> Column:
     return F.concat(features, F.array(F.length(ipa.base(phoneme)).cast("string")))
 
 
-def pairs(source: DataFrame, target: DataFrame, add_base_count: bool = False) -> DataFrame:
-    """(source, target, target_pos, distance) of every source phone with every target phone.
+def _targets(target: DataFrame, add_base_count: bool) -> Column:
+    """The inventory (phoneme, pos, features) as one array; more rows than an inventory has are an error."""
+    vector = with_base_count(F.col("features"), F.col("phoneme")) if add_base_count else F.col("features")
+    one = target.agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("pos").alias("pos"), F.col("phoneme").alias("phoneme"), vector.alias("v"))).alias("items"))
+    too_many = F.raise_error(F.lit(f"an inventory of more than {BROADCAST_ROWS} phones"))
+    return one.select(F.when(F.col("n") <= BROADCAST_ROWS, F.col("items")).otherwise(too_many.cast(one.schema["items"].dataType))).scalar()
 
-    Both sides are (phoneme, features) with ``pos`` on the target: two inventories, not two corpora.
-    """
-    vector = lambda d: with_base_count(d["features"], d["phoneme"]) if add_base_count else d["features"]
-    s = source.select(F.col("phoneme").alias("source"), vector(source).alias("_a"))
-    t = target.select(F.col("phoneme").alias("target"), F.col("pos").alias("target_pos"), vector(target).alias("_b"))
-    return s.join(small(t), F.lit(True)).select("source", "target", "target_pos", numeric.hamming(F.col("_a"), F.col("_b")).alias("distance"))
+
+def _with_distances(source: DataFrame, target: DataFrame, add_base_count: bool) -> DataFrame:
+    """(source, _d): per source row the array of (distance, target_pos, target)."""
+    own = with_base_count(F.col("features"), F.col("phoneme")) if add_base_count else F.col("features")
+    rows = source.select(F.col("phoneme").alias("source"), own.alias("_own")).withColumn("_targets", _targets(target, add_base_count))
+    one = lambda t: F.struct(numeric.hamming(F.col("_own"), t["v"]).alias("distance"), t["pos"].alias("target_pos"), t["phoneme"].alias("target"))
+    return rows.select("source", F.transform("_targets", one).alias("_d"))
+
+
+def pairs(source: DataFrame, target: DataFrame, add_base_count: bool = False) -> DataFrame:
+    """(source, target, target_pos, distance) of every source phone with every target phone: the distance matrix itself."""
+    found = _with_distances(source, target, add_base_count).select("source", F.explode("_d").alias("_d"))
+    return found.select("source", "_d.target", "_d.target_pos", "_d.distance")
 
 
-def closest(distances: DataFrame) -> DataFrame:
-    """The nearest target of each source; the first by position wins ties."""
-    best = F.min(F.struct("distance", "target_pos", "target"))
-    return distances.groupBy("source").agg(best.alias("_b")).select("source", F.col("_b.target").alias("target"), F.col("_b.distance").alias("distance"))
+def closest(source: DataFrame, target: DataFrame, add_base_count: bool = False) -> DataFrame:
+    """(source, target, distance) of the nearest target; the first by position wins ties."""
+    found = _with_distances(source, target, add_base_count).select("source", F.array_min("_d").alias("_d"))
+    return found.filter("_d is not null").select("source", "_d.target", "_d.distance")
 
 
-def k_nearest(distances: DataFrame, k: int) -> DataFrame:
+def k_nearest(source: DataFrame, target: DataFrame, k: int) -> DataFrame:
     """(source, rank, target, distance) of the k nearest targets."""
-    rank = F.row_number().over(W.partitionBy("source").orderBy("distance", "target_pos"))
-    return distances.withColumn("rank", rank).filter(F.col("rank") <= k).select("source", "rank", "target", "distance")
+    found = _with_distances(source, target, False).select("source", F.posexplode(F.slice(F.array_sort("_d"), 1, k)).alias("_r", "_d"))
+    return found.select("source", (F.col("_r") + 1).alias("rank"), "_d.target", "_d.distance")
 
 
 def nearest_or_same(source: DataFrame, target: DataFrame) -> DataFrame:
     """Each source phone's own target if it is in the inventory, else the nearest."""
     same = source.join(target.select(F.col("phoneme").alias("_t")), F.col("phoneme") == F.col("_t"), "left_semi").select(F.col("phoneme").alias("source"), F.col("phoneme").alias("target"), F.lit(0).alias("distance"))
     rest = source.join(target.select(F.col("phoneme").alias("_t")), F.col("phoneme") == F.col("_t"), "left_anti")
-    return same.unionByName(closest(pairs(rest, target)))
+    return same.unionByName(closest(rest, target))
 
 
 def map_inventories(source: DataFrame, target: DataFrame, features: DataFrame | None = None, split_complex: bool = False, threshold: int | None = None) -> DataFrame:
@@ -66,7 +78,7 @@ def map_inventories(source: DataFrame, target: DataFrame, features: DataFrame |
     names = target.select(F.col("phoneme").alias("_t"))
     same = source.join(names, F.col("phoneme") == F.col("_t"), "left_semi").select(F.col("phoneme").alias("source"), F.lit(0).alias("pos"), F.col("phoneme").alias("target"), F.lit(0).alias("distance"))
     rest = source.join(names, F.col("phoneme") == F.col("_t"), "left_anti")
-    near = closest(pairs(rest, target, add_base_count=True))
+    near = closest(rest, target, add_base_count=True)
     bounded = lambda part: F.col("target") if threshold is None else F.when(F.col("distance") >= threshold, part).otherwise(F.col("target"))
     whole = F.length(ipa.base(F.col("source"))) == F.length(ipa.base(F.col("target")))
     direct = near.filter(whole) if split_complex else near
@@ -75,7 +87,7 @@ def map_inventories(source: DataFrame, target: DataFrame, features: DataFrame |
         return out
     vectors = (features if features is not None else source.unionByName(target.select(*source.columns))).select(F.col("phoneme").alias("part"), "features").dropDuplicates(["part"])
     parts = near.filter(~whole).select("source", F.posexplode(ipa.split_complex(F.col("source"))).alias("pos", "part"))
-    found = closest(pairs(parts.select(F.col("part").alias("phoneme")).distinct().join(vectors, F.col("phoneme") == F.col("part")).select("phoneme", "features"), target, True))
+    found = closest(parts.select(F.col("part").alias("phoneme")).distinct().join(vectors, F.col("phoneme") == F.col("part")).select("phoneme", "features"), target, True)
     split = parts.join(found.withColumnRenamed("source", "_p"), F.col("part") == F.col("_p"))
     return out.unionByName(split.select("source", "pos", bounded(F.col("part")).alias("target"), "distance"))
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 MAP_ENTRIES = 50_000
 
 
-def as_map(mapping: DataFrame, source: str = "source", target: str = "target", pos: str = "pos") -> DataFrame:
-    """One row with map<source, array<target>>, targets in order of position; an inventory, hence small."""
+def as_map(mapping: DataFrame, source: str = "source", target: str = "target", pos: str = "pos") -> Column:
+    """map<source, array<target>> as a scalar subquery, targets in order of position; an inventory, hence small."""
     one = mapping.groupBy(source).agg(F.transform(F.sort_array(F.collect_list(F.struct(pos, target))), lambda s: s[target]).alias("_to"))
-    return one.agg(F.map_from_entries(F.collect_list(F.struct(source, "_to"))).alias("mapping"))
+    return one.agg(F.map_from_entries(F.collect_list(F.struct(source, "_to")))).scalar()
 
 
 def mapped(items: Column, mapping: Column, strict: bool = False) -> Column:
@@ -41,7 +41,7 @@ def remap(df: DataFrame, column: str, mapping: DataFrame, strict: bool = False)
     A mapping of an inventory's size is a broadcast map value; a larger one is joined element-wise.
     """
     if mapping.limit(MAP_ENTRIES + 1).count() <= MAP_ENTRIES:
-        return df.join(F.broadcast(as_map(mapping)), F.lit(True), "left").withColumn(column, mapped(F.col(column), F.coalesce("mapping", F.expr("map()")), strict)).drop("mapping")
+        return df.withColumn("_map", as_map(mapping)).withColumn(column, mapped(F.col(column), F.col("_map"), strict)).drop("_map")
     columns = df.columns
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     items = rows.select("_row", F.posexplode(column).alias("_at", "_item"))

@@ -197,7 +197,7 @@ def q16_nearest_map(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PHONES + "select source, rank::int as rank, target, distance from (select *, row_number() over (partition by source order by distance, target) as rank from d) where rank <= 5")
 def q17_k_nearest(spark: SparkSession, sf: str) -> DataFrame:
     rows = _vectors(spark, sf)
-    return nearest.k_nearest(nearest.pairs(rows, _nth(rows, 1)), 5)
+    return nearest.k_nearest(rows, _nth(rows, 1), 5)
 
 
 @query(_PHONES + """, x as (select s.vec_id as own, t.vec_id as target, list_sum(list_transform(range(1, len(s.f) + 1), lambda i: (s.f[i] <> t.f[i])::int)) as distance from own s, target t),

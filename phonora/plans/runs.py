@@ -81,8 +81,8 @@ def transcribe(rows: DataFrame, engines: Sequence[Callable[[str], g2p.Engine]],
     mapping = nearest.map_inventories(source.select("phoneme", "features"), target, features)
     as_map = remap.as_map(mapping)
     fixed = F.struct(F.col("phonemes.words").alias("words"), remap.remap_main_runs(F.col("phonemes.phonemes"), F.col("mapping")).alias("phonemes"))
-    mapped = spoken.join(F.broadcast(as_map), F.lit(True), "left").withColumn("phonemes", fixed).drop("mapping")
-    image = inventory.concatenated_inventory(inventories, "lang").join(F.broadcast(as_map), F.lit(True), "left")
+    mapped = spoken.withColumn("mapping", as_map).withColumn("phonemes", fixed).drop("mapping")
+    image = inventory.concatenated_inventory(inventories, "lang").withColumn("mapping", as_map)
     return mapped, image.select("lang", remap.image(F.col("phonemes"), F.col("mapping")).alias("phonemes"))
 
 

@@ -76,7 +76,7 @@ def test_nearest(spark):
     same = nearest.map_inventories(source, target, threshold=1).filter("source = 'e'").first()
     assert same["target"] == "e"
     assert [r["phoneme"] for r in nearest.unmapped_targets(nearest.map_inventories(source, target), target).orderBy("phoneme").collect()] == ["i", "u"]
-    ranked = nearest.k_nearest(nearest.pairs(source, target), 2).filter("source = 'e'").orderBy("rank").collect()
+    ranked = nearest.k_nearest(source, target, 2).filter("source = 'e'").orderBy("rank").collect()
     assert [(r["rank"], r["target"]) for r in ranked] == [(1, "a"), (2, "i")]
 
 
