@@ -30,6 +30,7 @@ TILE = 512
 HELD = 2_000_000
 #: Characters hashed in one pass; line ids that a task remembers so as not to send copies again.
 PASS, REMEMBER = 1 << 18, 1 << 17
+_LAST = (1 << 63) - 1
 _A = np.random.default_rng(1).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = np.random.default_rng(2).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
@@ -245,14 +246,30 @@ def _verify(similarity: float):
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, pos, line, name): every line that is not blank."""
+    """(doc_id, text_hash, doc, pos, line, name): every line that is not blank; doc is doc_id, null as the greatest."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return rows.filter("length(trim(line)) > 0").withColumn("name", F.xxhash64("line"))
+    rows = rows.filter("length(trim(line)) > 0")
+    return rows.withColumns({"name": F.xxhash64("line"), "doc": F.coalesce("doc_id", F.lit(_LAST))})
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between different lines, by name, that connect all verified pairs."""
+def _placed(df: DataFrame) -> DataFrame:
+    """``df`` with at_doc and at_pos read back from place."""
+    df = df.withColumn("at_pos", F.expr(f"cast(pmod(place, {1 << 31}BD) as int)"))
+    return df.withColumn("at_doc", F.expr(f"(place - at_pos) div {1 << 31}BD"))
+
+
+def first_places(docs: DataFrame) -> DataFrame:
+    """(name, place, n): where each different line comes first, as one number, and how often it comes."""
+    place = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")).cast("decimal(38,0)")
+    return durable(_lines(docs).select("name", place.alias("place")).groupBy("name").agg(F.min("place").alias("place"), F.count("*").alias("n")))
+
+
+def links(docs: DataFrame, first: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between different lines, by name, that connect all verified pairs.
+
+    The text of a line is taken from its first place, so a line that many documents repeat is sent once.
+    """
     found = _bands(docs).repartition("band").sortWithinPartitions("band", "line").mapInArrow(_sets(tile), "set long, line long, tile long, hot boolean")
     found = durable(found)
     cold = found.filter("not hot").select("set", F.lit(0).cast("long").alias("pair"), "line")
@@ -264,9 +281,10 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) ->
         hot = hot.join(last, F.col("set") == F.col("_set")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
         cold = cold.unionByName(hot.select("set", F.xxhash64(F.least("tile", "other"), F.greatest("tile", "other")).alias("pair"), "line"))
     met = cold.repartition("line").dropDuplicates(["line", "set", "pair"])
-    texts = _lines(docs).select("name", F.col("line").alias("text"))
-    texts = texts.join(met.select(F.col("line").alias("name")).distinct(), "name", "left_semi").groupBy("name").agg(F.min("text").alias("text"))
-    groups = met.join(texts, F.col("line") == F.col("name")).select("set", "pair", "line", F.col("text").cast("binary").alias("text"))
+    wanted = _placed(first.join(met.select(F.col("line").alias("name")).distinct(), "name", "left_semi")).select(F.col("name").alias("_name"), "at_doc", "at_pos")
+    at = (F.col("name") == F.col("_name")) & (F.col("doc") == F.col("at_doc")) & (F.col("pos") == F.col("at_pos"))
+    texts = _lines(docs).join(wanted, at).select("name", F.col("line").cast("binary").alias("text")).dropDuplicates(["name"])
+    groups = met.join(texts, F.col("line") == F.col("name")).select("set", "pair", "line", "text")
     return groups.repartition("set", "pair").sortWithinPartitions("set", "pair").mapInArrow(_verify(similarity), "a long, b long")
 
 
@@ -277,16 +295,15 @@ def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE
     (doc_id, position) stays; rows without a doc_id come last.  Blank lines stay.  Rows that share doc_id
     and text are one document, so they keep the same lines.
     """
-    roots = components(links(docs, similarity, tile))
-    place = (F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")).cast("decimal(38,0)")
-    lines = _lines(docs).select("doc_id", "text_hash", "pos", "name", place.alias("place"))
-    first = lines.groupBy("name").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    first = first_places(docs)
+    roots = components(links(docs, first, similarity, tile))
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     first = first.join(member, F.col("name") == F.col("node"), "left").filter("n > 1 or root is not null").select("name", F.coalesce("root", "name").alias("root"), "place")
     first = durable(first)
-    stays = first.groupBy("root").agg(F.min("place").alias("stays")).withColumnRenamed("root", "_root")
-    stays = first.join(stays, F.col("root") == F.col("_root")).select(F.col("name").alias("_name"), "stays")
-    lost = lines.join(stays, F.col("name") == F.col("_name")).filter("place <> stays")
+    stays = first.groupBy("root").agg(F.min("place").alias("place")).withColumnRenamed("root", "_root")
+    stays = _placed(first.select("name", "root").join(stays, F.col("root") == F.col("_root"))).select(F.col("name").alias("_name"), "at_doc", "at_pos")
+    lines = _lines(docs).select("doc_id", "text_hash", "doc", "pos", "name")
+    lost = lines.join(stays, F.col("name") == F.col("_name")).filter("doc <> at_doc or pos <> at_pos")
     return lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
 
 

@@ -36,7 +36,7 @@ def corpus(seed=1, n=60):
     return docs
 
 
-EDGES = [(900, None), (901, ""), (902, "   \t "), (903, "a"), (904, "A a"), (905, "long " * 6000), (906, "Mixed\nLines\n\n"), (907, None)]
+EDGES = [(-7, "negative ids are ids\ntoo"), (900, None), (901, ""), (902, "   \t "), (903, "a"), (904, "A a"), (905, "long " * 6000), (906, "Mixed\nLines\n\n"), (907, None)]
 
 
 @pytest.fixture(scope="module")
