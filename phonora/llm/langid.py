@@ -69,7 +69,7 @@ class Model:
         counts = np.bincount(hashed, minlength=1 << BITS)
         at = np.flatnonzero(counts)
         x = (1 + np.log(counts[at])) * self.idf[at]
-        return at, x / np.sqrt((x * x).sum())
+        return at.astype(np.int32), (x / np.sqrt((x * x).sum())).astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         hashed = ngrams(text) if text else None

@@ -24,7 +24,7 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Rows, and characters of each, from which frequent pre-tokens are learned; entries of the table;
 #: entries of a worker's cache.  They decide how fast a pre-token is found, never its length.
-SAMPLE_ROWS, SAMPLE_CHARS, TABLE, CACHE = 400, 20_000, 1 << 16, 1 << 19
+SAMPLE_ROWS, SAMPLE_CHARS, TABLE, CACHE = 400, 20_000, 1 << 16, 1 << 18
 
 #: The library's byte-level split (a fixed value).
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")

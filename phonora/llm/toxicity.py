@@ -117,29 +117,29 @@ def _varied(rows: list[tuple[str, int]], parts: int = 3, least: int = 40) -> lis
 
 def train(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 0.2, l1: float = 1e-3, seed: int = 3) -> Model:
     rows = _varied(rows)
-    data = [features(counted(t)) for t, _ in rows]
     toxic = np.array([int(y > 0) for _, y in rows])
     if not len(rows) or toxic.min() == toxic.max():
         return Model()
     seen, bad = Counter(), Counter()
-    for x, y in zip(data, toxic, strict=True):
-        seen.update(x.keys())
+    for (text, _), y in zip(rows, toxic, strict=True):
+        found = features(counted(text)).keys()
+        seen.update(found)
         if y:
-            bad.update(x.keys())
+            bad.update(found)
     n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
     lift = {k: math.log((bad[k] + 0.5) / (n_bad + 1)) - math.log((n - bad[k] + 0.5) / (n_good + 1)) for k, n in seen.items() if n >= LEAST}
     spread = {k: math.sqrt(1 / (bad[k] + 0.5) + 1 / (seen[k] - bad[k] + 0.5)) for k in lift}
     names = sorted(k for k, v in lift.items() if abs(v) > LIFT and abs(v) > SURE * spread[k])
     index = {k: i for i, k in enumerate(names)}
     marks = {k for k in names if lift[k] > 0}
-    # a word counts once, by its shortest mark
-    load = np.array([sum(n for k, n in x.items() if k in marks and not any(k[:j] + "*" in marks for j in BEGINNINGS if j < len(k.rstrip("*")))) for x in data])
+    load, sparse = np.zeros(len(rows)), []
+    for i, (text, _) in enumerate(rows):  # counted again: the counters of all rows would fill the driver
+        x = {k: n for k, n in features(counted(text)).items() if k in index}
+        sparse.append((np.array([index[k] for k in x], np.int64), np.array([1 + math.log(n) for n in x.values()])))
+        # a word counts once, by its shortest mark
+        load[i] = sum(n for k, n in x.items() if k in marks and not any(k[:j] + "*" in marks for j in BEGINNINGS if j < len(k.rstrip("*"))))
     cut = np.quantile(load[toxic == 1], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
     y = np.where(toxic == 1, 1 + (load[:, None] > cut[None, :]).sum(axis=1), 0)
-    sparse = []
-    for x in data:
-        items = [(index[k], 1 + math.log(n)) for k, n in x.items() if k in index]
-        sparse.append((np.array([i for i, _ in items], np.int64), np.array([v for _, v in items])))
     w, g2 = np.zeros(len(names)), np.full(len(names), 1e-6)
     t, t2 = np.arange(1, GRADES, dtype=float), np.full(GRADES - 1, 1e-6)
     balance = np.where(toxic == 1, len(toxic) / (2 * n_bad), len(toxic) / (2 * n_good))
