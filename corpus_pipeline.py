@@ -16,7 +16,7 @@ from phonora.llm.common import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language with a probability of 0.5, go."""
+    """Documents without letters, or of no language with a probability of 0.3, go."""
     return langid.accept(docs)
 
 

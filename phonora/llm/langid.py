@@ -20,8 +20,8 @@ from phonora.llm.common import map_arrow
 BITS = 15
 #: Training rows of each language at most, and the longest text among them; both bound the driver.
 ROWS_PER_LANGUAGE, TRAIN_CHARS = 1500, 100_000
-#: Probability under which the pipeline rejects a document.
-REJECT_BELOW = 0.5
+#: Probability under which the pipeline rejects a document; texts of one or two words may well be below a half.
+REJECT_BELOW = 0.3
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
