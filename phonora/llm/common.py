@@ -9,20 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch.  Documents may be long, so the default of 10,000 rows would let
-#: one batch grow to a gigabyte.
-ARROW_ROWS = 500
+#: Rows and bytes of an Arrow batch, whichever is reached first.  Documents may be long, so the default of
+#: 64 MB would leave Python several times that in words.
+ARROW_ROWS, ARROW_BYTES = 10_000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small enough for long documents."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough for long documents; smaller settings of the session stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    now = spark.conf.get(size, None)  # with a unit, such as 64m
+    if now is None or spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > ARROW_BYTES:
+        spark.conf.set(size, str(ARROW_BYTES))
 
 
 def durable(df: DataFrame) -> DataFrame:
