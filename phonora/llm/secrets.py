@@ -263,7 +263,7 @@ def _sample(docs: DataFrame, rows: int, chars: int = 50_000) -> list[str]:
     """Texts of a bounded sample: half with a base match, half with other candidates."""
     text = F.col("text").cast("string")
     rows_ = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text")).filter("text is not null").filter(F.length("text") <= chars)
-    total = max(rows_.count(), 1)
+    total = max(docs.count(), 1)
     share = min(1.0, 40 * rows / total)
     rows_ = rows_.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
     candidate = F.col("text").rlike(r"[A-Za-z]*[0-9][A-Za-z0-9]{7,}")
