@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from phonora.llm.common import fresh, map_arrow, text_buffers
 
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast block; its index takes about five times that.
+BLOCK_BYTES = 8 << 20
 #: Bytes of document text that one vectorised pass holds, unless one text is longer.
 PASS_BYTES = 1 << 20
 
@@ -86,27 +86,40 @@ class Words:
 
 
 class Index:
-    """Windows of benchmark items: hashes to find them, bytes to verify them."""
+    """Windows of benchmark items: sorted hashes to find them, and where they lie in the items' text to verify them."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
-        self.items: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
-        for name, text in items:
-            words = Words([text])
-            n = min(window, len(words.start))
-            if n:
+        self.names = [name for name, _ in items]
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        held, at_byte = [], 0
+        for low, high in passes([t for _, t in items]):
+            words = Words([t for _, t in items[low:high]])
+            count = np.diff(words.first)
+            for n in {min(window, int(c)) for c in count if c}:
                 at, h = words.windows(n)
-                hashes[n].append(h)
-                for i in at.tolist():
-                    self.items[n][words.window(i, n)].add(name)
-        self.items = {n: dict(x) for n, x in self.items.items()}
-        self.hashes = {n: np.unique(np.concatenate(x)) for n, x in hashes.items()}
-        self.maps = {}
-        for n, h in self.hashes.items():
+                of = words.of[at]
+                right = count[of] >= window if n == window else count[of] == n
+                at, h, of = at[right], h[right], of[right]
+                parts[n].append((h, words.start[at] + at_byte, words.end[at + n - 1] + at_byte, of + low))
+            held.append(words.bytes)
+            at_byte += len(words.bytes)
+        self.text = b"".join(held)
+        self.hashes, self.places, self.maps = {}, {}, {}
+        for n, found in parts.items():
+            h, start, end, item = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.hashes[n] = h = h[order]
+            self.places[n] = start[order], end[order], item[order].astype(np.int32)
             shift = np.uint64(64 - max(16, min(24, len(h).bit_length() + 6)))
-            found = np.zeros(1 << int(64 - shift), bool)
-            found[h >> shift] = True
-            self.maps[n] = shift, found
+            bitmap = np.zeros(1 << int(64 - shift), bool)
+            bitmap[h >> shift] = True
+            self.maps[n] = shift, bitmap
+
+    def items(self, n: int, h: np.uint64, window: bytes) -> set[str]:
+        """Names of the items that have a window, compared byte by byte."""
+        low, high = np.searchsorted(self.hashes[n], h, "left"), np.searchsorted(self.hashes[n], h, "right")
+        start, end, item = self.places[n]
+        return {self.names[item[k]] for k in range(low, high) if self.text[start[k] : end[k]] == window}
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, set[str]]]:
         """For each text: words, first and last word (exclusive) of each occurring window, items that occur."""
@@ -119,8 +132,8 @@ class Index:
             if len(maybe):
                 place = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
                 maybe = maybe[known[place] == h[maybe]]
-            for i in at[maybe].tolist():
-                names = self.items[n].get(words.window(i, n))
+            for i, hash_ in zip(at[maybe].tolist(), h[maybe], strict=True):
+                names = self.items(n, hash_, words.window(i, n))
                 if names:
                     found[int(words.of[i])].append((i, i + n, names))
         out = []
