@@ -34,25 +34,25 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Sorted projections of one block; of equal vectors the ``keep`` smallest ids stay."""
+    """Sorted projections of one block of distinct (id, vector); of equal vectors the ``keep`` smallest ids stay."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, keep: int) -> None:
+    def __init__(self, ids: np.ndarray, x: np.ndarray, copies: np.ndarray, keep: int) -> None:
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], np.ascontiguousarray(x[order]) + 0.0
+        ids, x, copies = ids[order], np.ascontiguousarray(x[order]) + 0.0, copies[order]
         _, group = np.unique(x.view(f"V{x.shape[1] * 8}").ravel(), return_inverse=True)
         by = np.argsort(group, kind="stable")
         first = np.flatnonzero(np.diff(group[by], prepend=-1))
         rank = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
         stay = np.sort(by[rank < keep])
-        self.ids, self.x = ids[stay], x[stay]
+        self.ids, self.x, self.copies = ids[stay], x[stay], copies[stay]
         self.a = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], PROJECTIONS))
         p = self.x @ self.a
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(p, self.order.T, axis=0).T.copy()
 
-    def search(self, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        """(query id, vector id, distance) of the k nearest found for each query."""
-        out: list[tuple[int, int, float]] = []
+    def search(self, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int, float]]:
+        """(place of the query, vector id, its copies, distance) of the k nearest of other ids found for each query."""
+        out: list[tuple[int, int, int, float]] = []
         if not len(self.ids):
             return out
         at = q @ self.a
@@ -64,7 +64,7 @@ class Index:
         if not counts and len(live) > 1:  # bounded memory: fewer queries at a time
             step = max(1, (1 << 25) // n)
             for low in range(0, len(live), step):
-                out += self.search(qids[low : low + step], q[low : low + step], k)
+                out += [(low + i, *rest) for i, *rest in self.search(qids[low : low + step], q[low : low + step], k)]
             return out
         counts = counts or {0: np.zeros(n, np.int16)}
         low = np.stack([np.searchsorted(self.sorted[j], at[:, j]) for j in range(PROJECTIONS)])
@@ -85,23 +85,22 @@ class Index:
                 fresh = np.flatnonzero((count >= COLLISIONS) & ~verified[i])
                 if len(fresh):
                     verified[i][fresh] = True
+                    fresh = fresh[self.ids[fresh] != qids[i]]  # before the cut: own rows take no places
                     near = np.concatenate([done[i][0], fresh])
                     d = np.concatenate([done[i][1], distances(self.x[fresh], q[i])])
-                    keep = np.lexsort((self.ids[near], d))[: k + 1]
+                    keep = np.lexsort((self.ids[near], d))[:k]
                     done[i] = near[keep], d[keep]
                 near, d = done[i]
-                other = d[self.ids[near] != qids[i]][:k]
                 if (new_low[:, c] == 0).all() and (new_high[:, c] == n).all():
                     enough = True  # every vector has been verified
-                elif len(other) < k:
+                elif len(d) < k:
                     enough = False
                 else:
-                    p = math.erf(width / max(float(other[-1]), 1e-300) / math.sqrt(2))
+                    p = math.erf(width / max(float(d[-1]), 1e-300) / math.sqrt(2))
                     enough = PROJECTIONS * p - SURENESS * math.sqrt(PROJECTIONS * p * (1 - p)) >= COLLISIONS
                 if enough:
                     del counts[i], verified[i]
-                    mine = [(int(self.ids[v]), float(x)) for v, x in zip(near, d, strict=True) if self.ids[v] != qids[i]][:k]
-                    out += [(int(qids[i]), v, x) for v, x in mine]
+                    out += [(i, int(self.ids[v]), int(self.copies[v]), float(x)) for v, x in zip(near, d, strict=True)]
                 else:
                     going.append(i)
             live, width = going, width * GROWTH
@@ -118,12 +117,14 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, block: int = B
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but those of
     the query's own vec_id.  Vectors that are null, zero, or hold null or non-finite components take no
     part, nor do rows with a null vec_id; vectors of different length are not compared.  Ties go to the
-    smaller vec_id.  Every vector is indexed; vectors and queries meet block by chunk, so a task's memory
+    smaller vec_id.  Repeated rows count as often as they occur: rows are reduced to distinct ones with a
+    number of copies before any search, the ``k`` nearest distinct ones are found, and each pair then
+    fills as many ranks as a join of all query rows with all rows has pairs.  Vectors and queries meet block by chunk, so a task's memory
     does not grow with the table.  Only vec_id and embedding are read.
     """
     finite = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double)) and exists(embedding, x -> x <> 0)"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null").filter(finite)
-    rows = rows.withColumn("dim", F.size("embedding"))
+    rows = rows.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")).withColumn("dim", F.size("embedding"))
     queries = rows.filter(F.col("vec_id") % every == 0)
     n, m = vectors.count(), vectors.filter(F.col("vec_id") % every == 0).count()
     blocks, chunks = max(1, -(-n // block)), max(1, -(-m // chunk))
@@ -134,12 +135,15 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, block: int = B
         found = []
         if v.num_rows and q.num_rows:
             dim = v.column("dim")[0].as_py()
-            index = Index(v.column("vec_id").to_numpy(), _matrix(v.column("embedding"), dim), k + 1)
-            found = index.search(q.column("vec_id").to_numpy(), _matrix(q.column("embedding"), dim), k)
-        a, b, c = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+            index = Index(v.column("vec_id").to_numpy(), _matrix(v.column("embedding"), dim), v.column("copies").to_numpy(), k + 1)
+            qids, times = q.column("vec_id").to_numpy(), q.column("copies").to_numpy()
+            found = [(int(qids[i]), b, min(k, int(times[i]) * n), c) for i, b, n, c in index.search(qids, _matrix(q.column("embedding"), dim), k)]
+        a, b, n, c = zip(*found, strict=True) if found else ((), (), (), ())
+        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "pairs": pa.array(n, pa.int32()), "score": pa.array(c, pa.float64())})
 
     keys = ("dim", "block", "chunk")
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, pairs int, score double")
+    # The copies of a pair are equal rows, so which of them a cut at k takes does not matter.
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("pairs"))))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

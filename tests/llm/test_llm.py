@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from phonora.llm import ann, components, decontam, langid, lines, pii, secrets, simhash, spm, tiles, tokens, toxicity
+from phonora.llm.queries import ORACLES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id string, lost string, ids string, _hash string"
 
@@ -446,6 +447,25 @@ def test_neighbours(spark):
     assert ann.neighbours(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_neighbours_of_repeated_rows_are_those_of_the_sql(spark, times):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    rows = [(i * 10, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows = rows * times + [(100, [float(c) for c in x[10] + 0.001 * k]) for k in range(1, 15)] + [rows[7]] * 3  # an id of many vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in ann.neighbours(df, block=300, chunk=300).select("query_id", "rank", "vec_id", "score").collect())
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    want = sorted(con.execute(ORACLES["op8_nearest_vectors"]).fetchall())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+    parts = sorted(tuple(r) for r in ann.neighbours(df, block=20, chunk=2).select("query_id", "rank", "vec_id", "score").collect())
+    assert parts == got
+
+
 # 6. Toxicity.
 
 
