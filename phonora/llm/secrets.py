@@ -2,8 +2,9 @@
 
 The base patterns are exact and their spans always stay.  The field tags tokens as outside (O),
 begin (B) or inside (I) of a secret, using token shape, neighbouring words and file features, and
-is decoded by Viterbi.  Only tokens that could be part of a secret by their form may be B or I, so
-a line without such a token is all O and need not be decoded; every other line is.
+is decoded by Viterbi.  Every token of every line is scored for all labels.  Tokens that are outside
+on every best path, as a bound over the transitions shows, split a line; only what lies between them
+needs the recursion.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-_PART = re.compile(r"[A-Za-z0-9]+|[+/_.=-]|[^\x00-\x20A-Za-z0-9+/_.=-]", re.A)
-#: Whole runs of letters and digits that hold a digit; a text without any has no token that may be tagged.
+#: Pieces of a text: runs of letters and digits, single marks, and white space, which is not a token.
+_PIECE = re.compile(r"[A-Za-z0-9]+|[+/_.=-]|[\x00-\x20]+|[^\x00-\x20A-Za-z0-9+/_.=-]", re.A)
+#: Whole runs of letters and digits that hold a digit: places of training windows.
 _MAYBE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*", re.A)
 LABELS = "OBI"
-#: Shortest run of letters and digits that may be tagged, hashed weights, and training lines at most.
+_DIGIT, _HEXES = re.compile("[0-9]"), re.compile("[0-9a-fA-F]+")
+#: Shortest token that looks like a key in training windows, hashed weights, and training lines at most.
 SHORTEST, BITS, LINES = 8, 14, 4000
+#: Tokens a worker keeps the scores of, and characters of lines scored at once (a longer line is one block).
+KEPT, BLOCK = 100_000, 1 << 18
 #: Words that introduce credentials, beyond those of the base patterns; used to make training lines.
 WORDS = ["pwd", "pass", "auth", "bearer", "credential", "private_key", "access_key", "client_secret", "key", "authorization"]
 
@@ -54,20 +59,30 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+_CLASS = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "f"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "9")})
+_REPEAT = re.compile(r"(.)\1+", re.S)
+
+
 def shape(token: str) -> str:
     """Character classes in order, runs squeezed."""
-    out = re.sub(r"[a-f]+", "f", re.sub(r"[g-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "9", token))))
+    out = _REPEAT.sub(r"\1", token.translate(_CLASS))
     return out[:6] if len(out) <= 6 else f"mix{len(set(out))}"
 
 
 def allowed(token: str) -> bool:
-    """Whether a token may be part of a secret: a long run with a digit that is not a plain number."""
+    """Whether a token looks like a key: a long run with a digit that is not a plain number."""
     return len(token) >= SHORTEST and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
-@cache
+@lru_cache(1 << 14)
 def _index(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") >> (32 - BITS)
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") >> (32 - BITS)
+
+
+def _context(token: str) -> list[int]:
+    """Places of the features of a lower-cased token before, two before and as a word before another token."""
+    d = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=6).digest()
+    return [int.from_bytes(d[k : k + 2], "little") >> (16 - BITS) for k in (0, 2, 4)]
 
 
 def file_features(text: str) -> list[str]:
@@ -77,15 +92,65 @@ def file_features(text: str) -> list[str]:
     return [f"file:size{int(math.log10(n))}", f"file:code{min(4, int(200 * marks / n))}", f"file:lines{min(4, int(math.log10(text.count(chr(10)) + 1)))}"]
 
 
-def features(tokens: list[str], i: int, of_file: list[str]) -> list[int]:
-    t = tokens[i]
+def own_names(t: str) -> tuple[str, ...]:
+    n = len(t)
+    counts = [t.count(c) for c in set(t)]
+    entropy = math.log2(n) - sum(c * math.log2(c) for c in counts) / n
+    return "1", f"shape:{shape(t)}", f"len:{min(n // 4, 12)}", f"digits:{5 * len(_DIGIT.findall(t)) // n}", f"entropy:{int(2 * entropy + 1e-9)}", f"hex:{_HEXES.fullmatch(t) is not None}"
+
+
+def is_word(t: str) -> bool:
+    return t.isalpha() and len(t) > 2
+
+
+def glued_length(tokens: list[str], gaps: list[bool], i: int) -> int:
+    """Characters of the run of letters, digits and +/_.=- around a token that no space breaks."""
+    low = high = i
+    while not gaps[low] and low and in_run(tokens[low]) and in_run(tokens[low - 1]):
+        low -= 1
+    while high + 1 < len(tokens) and not gaps[high + 1] and in_run(tokens[high]) and in_run(tokens[high + 1]):
+        high += 1
+    return sum(map(len, tokens[low : high + 1]))
+
+
+def in_run(t: str) -> bool:
+    return t[0] in "+/_.=-" or t.isascii() and t.isalnum()
+
+
+def features(tokens: list[str], gaps: list[bool], i: int, of_file: list[str]) -> list[int]:
+    """Places of the features of a token of a line; ``gaps`` tells which tokens follow white space."""
     near = lambda k: tokens[i + k].lower() if 0 <= i + k < len(tokens) else "^"
-    words = [w for k in range(max(0, i - 6), i) if (w := tokens[k].lower()).isalpha() and len(w) > 2][-2:]
-    digits = sum(c.isdigit() for c in t)
-    entropy = -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values())
-    names = ["1", f"shape:{shape(t)}", f"len:{min(len(t) // 4, 12)}", f"digits:{int(5 * digits / len(t))}", f"entropy:{int(2 * entropy)}", f"prev:{near(-1)[:12]}", f"prev2:{near(-2)[:12]}", f"next:{near(1)[:2]}", f"hex:{all(c in '0123456789abcdefABCDEF' for c in t)}"]
-    names += [f"word:{w}" for w in words] + of_file
-    return [_index(x) for x in names]
+    words = [w for k in range(max(0, i - 6), i) if is_word(w := tokens[k].lower())][-2:]
+    names = [*own_names(tokens[i]), f"next:{near(1)[:2]}", f"gap:{int(gaps[i])}", f"run:{min(glued_length(tokens, gaps, i) // 4, 12)}"]
+    return [*map(_index, [*names, *of_file]), _context(near(-1))[0], _context(near(-2))[1], *(_context(w)[2] for w in words)]
+
+
+class Pieces(dict):
+    """Numbers of pieces of text and, by number, what the scores of a token add up from."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        super().__init__()
+        self.weights = weights
+        self.sums = np.zeros((1024, 5, 3))  # as the one before, two before, a word before, behind, the token itself
+        self.own: dict[tuple[str, ...], np.ndarray] = {}
+        self.kind = np.zeros((1024, 5), np.int64)  # length, space, line end, part of a run, word
+        self["^"]
+
+    def __missing__(self, t: str) -> int:
+        k = len(self)
+        if k == len(self.sums):
+            self.sums, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.kind))
+        space = t[0] <= " "
+        self.kind[k] = len(t), space, "\n" in t, not space and in_run(t), not space and is_word(t.lower())
+        if not space:
+            low = t.lower()
+            names = own_names(t)
+            if names not in self.own:
+                self.own[names] = self.weights[[_index(x) for x in names]].sum(axis=0)
+            self.sums[k, :4] = self.weights[[*_context(low), _index(f"next:{low[:2]}")]]
+            self.sums[k, 4] = self.own[names]
+        self[t] = k
+        return k
 
 
 @dataclass
@@ -93,29 +158,102 @@ class Model:
     weights: np.ndarray  # features x labels
     steps: np.ndarray  # label x label
 
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "steps": self.steps}
+
+    def _pieces(self) -> Pieces:
+        pieces = self.__dict__.get("pieces")
+        if pieces is None or len(pieces) > KEPT:
+            pieces = self.__dict__["pieces"] = Pieces(self.weights)
+        return pieces
+
+    def scores(self, pieces: list[str], of_file: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, starts, ends, place in the line) of the tokens among the pieces of whole lines."""
+        known = self._pieces()
+        ids = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        kind = known.kind[ids]
+        end = np.cumsum(kind[:, 0])
+        at = np.flatnonzero(kind[:, 1] == 0)
+        before = np.maximum(at - 1, 0)
+        gap = (at == 0) | (kind[before, 1] == 1)
+        first = (at == 0) | (kind[before, 2] == 1)
+        if len(first):
+            first[0] = True
+        ids, length, run, word = ids[at], kind[at, 0], kind[at, 3] == 1, kind[at, 4] == 1
+        n = len(at)
+        here = np.arange(n)
+        place = here - np.maximum.accumulate(np.where(first, here, 0))
+        last = np.append(first[1:], True)[:n]
+        none = known["^"]
+        shifted = lambda k: np.where(place >= k, np.concatenate([np.full(min(k, n), none), ids[: max(n - k, 0)]]), none)
+        u = known.sums[ids, 4] + known.sums[shifted(1), 0] + known.sums[shifted(2), 1]
+        u += known.sums[np.where(last, none, np.append(ids[1:], none)[:n]), 3]
+        u += self.weights[[_index("gap:0"), _index("gap:1")]][gap.astype(int)]
+        glued = ~gap & run & np.append(False, run[:-1])[:n]
+        number = np.cumsum(~glued) - 1
+        u += self.weights[[_index(f"run:{k}") for k in range(13)]][np.minimum(np.bincount(number, length).astype(np.int64) // 4, 12)[number]]
+        taken = np.zeros(n, np.int8)
+        for k in range(1, 7):
+            some = np.flatnonzero((place >= k) & (taken < 2))
+            some = some[word[some - k]]
+            u[some] += known.sums[ids[some - k], 2]
+            taken[some] += 1
+        u += self.weights[[_index(x) for x in of_file]].sum(axis=0)
+        return u, end[at] - length, end[at], place
+
     def unary(self, tokens: list[str], of_file: list[str]) -> np.ndarray:
-        u = np.full((len(tokens), 3), -1e9)
-        for i, t in enumerate(tokens):
-            if allowed(t) or t in "+/_.=-":
-                u[i] = self.weights[features(tokens, i, of_file)].sum(axis=0)
-                if not allowed(t):
-                    u[i, 1] = -1e9
-            else:
-                u[i, 0] = 0.0
-        return u
+        """Scores of the labels of the tokens of one line, spaces between them."""
+        return self.scores([x for t in tokens for x in (" ", t)], of_file)[0]
+
+    def labels(self, u: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The best label of each token of lines that start where ``place`` is 0; an O is never followed by an I.
+
+        A token is surely O if O in place of B or I gains whatever its neighbours are; a following I then
+        becomes B, at the difference of that token's scores.
+        """
+        t, n = self.steps, len(u)
+        out = np.zeros(n, np.int8)
+        last = np.append(place[1:] == 0, True)[:n]
+        then = np.append(u[1:, 1] - u[1:, 2], 0.0)[:n]
+        sure = np.ones(n, bool)
+        for y in (1, 2):
+            won = max(0.0, *(t[a, y] - t[a, 0] for a in range(3) if t[a, y] > -1e8))
+            free = won + max(0.0, *(t[y, b] - t[0, b] for b in (0, 1)))
+            bound = won + t[y, 2] - t[0, 1] + max(0.0, *(t[2, c] - t[1, c] for c in range(3)))
+            less = u[:, 0] - u[:, y]
+            sure &= (less > free + 1e-9) & (last | (less + then > bound + 1e-9))
+        after = np.append(True, sure[:-1])[:n] & (place > 0)
+        alone = np.flatnonzero(~sure & after & ~last & np.append(sure[1:], False)[:n])  # between two sure ones
+        out[alone] = t[0, 1] + u[alone, 1] + t[1, 0] > t[0, 0] + u[alone, 0] + t[0, 0]
+        sure[alone] = True
+        some = np.flatnonzero(~sure)
+        if len(some):
+            edges = np.flatnonzero((np.diff(some) != 1) | (place[some[1:]] == 0)) + 1
+            steps = t.tolist()
+            for part in np.split(some, edges):
+                low, high = int(part[0]), int(part[-1])
+                out[low : high + 1] = _best(u[low : high + 1].tolist(), steps, place[low] > 0, not last[high])
+        return out
 
     def decode(self, tokens: list[str], of_file: list[str]) -> str:
-        """The best labels; an O is never followed by an I."""
-        u = self.unary(tokens, of_file)
-        best, back = u[0] + np.array([0, 0, -1e9]), []
-        for row in u[1:]:
-            all_ = best[:, None] + self.steps
-            back.append(all_.argmax(axis=0))
-            best = all_.max(axis=0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return "".join(LABELS[k] for k in reversed(path))
+        """The best labels of the tokens of one line."""
+        return "".join(LABELS[k] for k in self.labels(self.unary(tokens, of_file), np.arange(len(tokens))))
+
+
+def _best(u: list[list[float]], steps: list[list[float]], after_o: bool, before_o: bool) -> list[int]:
+    """Viterbi over the scores of neighbouring tokens, with an O on either side or the end of the line."""
+    best = [a + b for a, b in zip(u[0], steps[0] if after_o else (0.0, 0.0, -1e9), strict=True)]
+    back = []
+    for row in u[1:]:
+        come = [max(range(3), key=lambda a: best[a] + steps[a][y]) for y in range(3)]  # noqa: B023
+        best = [best[come[y]] + steps[come[y]][y] + row[y] for y in range(3)]
+        back.append(come)
+    if before_o:
+        best = [best[y] + steps[y][0] for y in range(3)]
+    path = [max(range(3), key=best.__getitem__)]
+    for come in reversed(back):
+        path.append(come[path[-1]])
+    return path[::-1]
 
 
 def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
@@ -123,47 +261,58 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
 
 
-def train(lines: list[tuple[list[str], str, list[str]]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4, seed: int = 11) -> Model:
-    """Maximum likelihood by forward-backward and AdaGrad over (tokens, labels, file features)."""
+def train(lines: list[tuple[list[str], list[bool], str, list[str]]], epochs: int = 8, rate: float = 0.3, l2: float = 1e-4, seed: int = 11, group: int = 8) -> Model:
+    """Maximum likelihood by forward-backward and AdaGrad over groups of (tokens, gaps, labels, file features)."""
     model = Model(np.zeros((1 << BITS, 3)), np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]], float))
     free = model.steps > -1e8
     seen_w, seen_s = np.full(model.weights.shape, 1e-8), np.full((3, 3), 1e-8)
     rng = np.random.default_rng(seed)
-    lines = [(t, [LABELS.index(x) for x in y], f) for t, y, f in lines if t]
+    made = []
+    for tokens, gaps, y, of_file in lines:
+        if tokens:
+            at = [features(tokens, gaps, i, of_file) for i in range(len(tokens))]
+            made.append((np.array([i for i, f in enumerate(at) for _ in f]), np.array([x for f in at for x in f]), np.array([LABELS.index(c) for c in y])))
     for _ in range(epochs):
-        for k in rng.permutation(len(lines)):
-            tokens, y, of_file = lines[k]
-            u = model.unary(tokens, of_file)
-            u[0, 2] = -1e9
-            n = len(tokens)
-            fwd, bwd = np.zeros((n, 3)), np.zeros((n, 3))
-            fwd[0] = u[0]
+        order = np.argsort([len(y) + 8 * rng.random() for _, _, y in made])  # lines of like length share a group
+        for low in group * rng.permutation(-(-len(order) // group)):
+            some = order[low : low + group]
+            size = np.array([len(made[k][2]) for k in some])
+            m, n = len(some), int(size.max())
+            row = np.concatenate([made[k][0] + n * j for j, k in enumerate(some)])
+            at = np.concatenate([made[k][1] for k in some])
+            real = np.arange(n) < size[:, None]
+            u, y = np.zeros((m * n, 3)), np.zeros((m, n), np.int64)
+            for c in range(3):
+                u[:, c] = np.bincount(row, model.weights[at, c], m * n)
+            u = u.reshape(m, n, 3)
+            for j, k in enumerate(some):
+                y[j, : size[j]] = made[k][2]
+            fwd, bwd = np.zeros((m, n, 3)), np.zeros((m, n, 3))
+            fwd[:, 0] = u[:, 0] + np.array([0, 0, -1e9])
             for i in range(1, n):
-                fwd[i] = _log_sum(fwd[i - 1][:, None] + model.steps, 0) + u[i]
+                fwd[:, i] = np.where(real[:, i, None], _log_sum(fwd[:, i - 1, :, None] + model.steps, 1) + u[:, i], fwd[:, i - 1])
             for i in range(n - 2, -1, -1):
-                bwd[i] = _log_sum(model.steps + (u[i + 1] + bwd[i + 1])[None, :], 1)
-            total = _log_sum(fwd[-1], 0)
-            p = np.exp(fwd + bwd - total)
-            g = np.zeros((3, 3))
-            for i in range(1, n):
-                g += np.exp(fwd[i - 1][:, None] + model.steps + (u[i] + bwd[i])[None, :] - total)
-                g[y[i - 1], y[i]] -= 1
+                bwd[:, i] = np.where(real[:, i + 1, None], _log_sum(model.steps + (u[:, i + 1] + bwd[:, i + 1])[:, None, :], 2), 0.0)
+            total = _log_sum(fwd[:, -1], 1)
+            p = np.exp(fwd + bwd - total[:, None, None])
+            pair = np.exp(fwd[:, :-1, :, None] + model.steps + (u[:, 1:] + bwd[:, 1:])[:, :, None, :] - total[:, None, None, None])
+            g = pair[real[:, 1:]].sum(axis=0)
+            np.subtract.at(g, (y[:, :-1][real[:, 1:]], y[:, 1:][real[:, 1:]]), 1)
             g[~free] = 0
             seen_s += g * g
             model.steps[free] -= (rate * g / np.sqrt(seen_s))[free]
-            for i, t in enumerate(tokens):
-                if allowed(t) or t in "+/_.=-":
-                    d = p[i].copy()
-                    d[y[i]] -= 1
-                    at = list(set(features(tokens, i, of_file)))
-                    grad = d[None, :] + l2 * model.weights[at]
-                    seen_w[at] += grad * grad
-                    model.weights[at] -= rate * grad / np.sqrt(seen_w[at])
+            d = p - np.eye(3)[y]
+            d[~real] = 0
+            d = d.reshape(m * n, 3)
+            used, where = np.unique(at, return_inverse=True)
+            grad = np.stack([np.bincount(where, d[row, c], len(used)) for c in range(3)], axis=1) + l2 * model.weights[used]
+            seen_w[used] += grad * grad
+            model.weights[used] -= rate * grad / np.sqrt(seen_w[used])
     return model
 
 
 def window(text: str, start: int, end: int, reach: int = 120) -> tuple[int, int]:
-    """The part of the line around a span that the field sees, cut at spaces."""
+    """The part of the line around a span that a training window holds, cut at spaces."""
     low, high = text.rfind("\n", max(0, start - reach), start) + 1, text.find("\n", end, end + reach)
     if not low:
         low = max(0, start - reach)
@@ -174,88 +323,108 @@ def window(text: str, start: int, end: int, reach: int = 120) -> tuple[int, int]
     return low, high
 
 
-def segments(text: str) -> list[tuple[int, int]]:
-    """Windows of the text that hold all tokens that may be tagged; windows that touch are one."""
+def segments(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Training windows around the places; windows that touch are one."""
     out: list[tuple[int, int]] = []
-    for m in _MAYBE.finditer(text):
-        if allowed(m[0]):
-            low, high = window(text, m.start(), m.end())
-            if out and low <= out[-1][1]:
-                out[-1] = (out[-1][0], max(high, out[-1][1]))
-            else:
-                out.append((low, high))
+    for s, e in sorted(places):
+        low, high = window(text, s, e)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
     return out
 
 
-def _tokens(text: str, low: int, high: int) -> tuple[list[str], list[tuple[int, int]]]:
-    found = [(m[0], m.span()) for m in _PART.finditer(text, low, high)]
-    return [t for t, _ in found], [s for _, s in found]
+def values(text: str) -> list[tuple[int, int]]:
+    """Places of the base matches without the words that introduce them."""
+    return [_ASSIGN.match(text, s, e).span(2) if k == "assign" else (s, e) for k, s, e in base_spans(text)]
+
 
+def _tokens(text: str, low: int, high: int) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
+    """Tokens of a part of a text, whether white space or nothing is before them, and their places."""
+    found = [(m[0], m.span()) for m in _PIECE.finditer(text, low, high) if m[0][0] > " "]
+    ends = [low - 1, *(e for _, (_, e) in found)]
+    return [t for t, _ in found], [s != e for (_, (s, _)), e in zip(found, ends, strict=False)], [s for _, s in found]
 
-def _labels(places: list[tuple[int, int]], tokens: list[str], spans: list[tuple[str, int, int]]) -> str:
+
+def _labels(places: list[tuple[int, int]], gaps: list[bool], spans: list[tuple[int, int]]) -> str:
     out = ""
-    for t, (s, e) in zip(tokens, places, strict=True):
-        inside = any(a <= s and e <= b for _, a, b in spans)
-        if not inside or not (allowed(t) or t in "+/_.=-"):
+    for (s, e), gap in zip(places, gaps, strict=True):
+        if not any(a <= s and e <= b for a, b in spans):
             out += "O"
-        elif out and out[-1] != "O":
-            out += "I"
         else:
-            out += "B" if allowed(t) else "O"
+            out += "I" if out and out[-1] != "O" and not gap else "B"
     return out
 
 
 def _doubtful(tokens: list[str], labels: str) -> bool:
-    """Whether a token that may be tagged stands behind a credential word but no base pattern took it."""
+    """Whether a token that looks like a key stands behind a credential word but no base pattern took it."""
     return any(y == "O" and allowed(t) and any(w.lower() in WORDS for w in tokens[max(0, i - 3) : i]) for i, (t, y) in enumerate(zip(tokens, labels, strict=True)))
 
 
-def training_lines(texts: list[str], limit: int = LINES, seed: int = 5) -> list[tuple[list[str], str, list[str]]]:
-    """Labelled windows: base matches in the sample, other candidates of the sample, and lines made by rule.
+def training_lines(texts: list[str], limit: int = LINES, seed: int = 5) -> list[tuple[list[str], list[bool], str, list[str]]]:
+    """Labelled windows: base matches, runs with a digit and openings of the sample, and lines made by rule.
 
     Windows whose label is doubtful are left out."""
     lines = []
     for text in texts:
-        spans, of_file = base_spans(text), file_features(text)
-        for low, high in segments(text):
-            tokens, places = _tokens(text, low, high)
-            labels = _labels(places, tokens, spans)
+        spans, of_file = values(text), file_features(text)
+        for low, high in segments(text, [*spans, *(m.span() for m in _MAYBE.finditer(text)), (0, 0)]):
+            tokens, gaps, places = _tokens(text, low, high)
+            labels = _labels(places, gaps, spans)
             if len(tokens) <= 400 and len(lines) < limit and not _doubtful(tokens, labels):
-                lines.append((tokens, labels, of_file))
+                lines.append((tokens, gaps, labels, of_file))
     rng = np.random.default_rng(seed)
-    pools = ["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     make = lambda pool, n: "".join(rng.choice(list(pool), n))
-    for k in range(600):
-        plain = " ".join(make("etaoinshr", int(rng.integers(2, 9))) for _ in range(6))
-        if k % 2:
-            value = make(pools[int(rng.integers(3))], int(rng.integers(16, 48)))
-            word = WORDS[int(rng.integers(len(WORDS)))]
-            line = f"{plain} {word}{[' = ', ': ', '=', ' '][int(rng.integers(4))]}{value} {plain}"
-            spans = [("crf", line.index(value, len(plain)), line.index(value, len(plain)) + len(value))]
-        else:  # mail names, versions, dates, numbers with units
-            value = [f"{make('abcdefg', 6)}{k}@mail{k % 9}.example.com", f"v{k}beta{k % 7}release", f"item{k:06d}", f"2024T{k:06d}Z", f"section{k % 40}page{k}"][int(rng.integers(5))]
-            line, spans = f"{plain} {value} {plain}", []
-        low_high = segments(line)
-        for low, high in low_high:
-            tokens, places = _tokens(line, low, high)
-            lines.append((tokens, _labels(places, tokens, spans), file_features(line)))
+    pick = lambda of: of[int(rng.integers(len(of)))]
+    word = lambda: make("etaoinshrdlucm", int(rng.integers(2, 9)))
+    plain = lambda: " ".join(word() for _ in range(int(rng.integers(0, 7))))
+    dense = ["0123456789abcdef", "0123456789ABCDEF", letters + "0123456789", letters, letters + "0123456789+/"]
+    for k in range(1600):
+        low, value, cased = plain(), "", lambda w: pick([w, w.upper(), w.capitalize()])
+        name = cased(pick(WORDS))
+        if k % 4 == 0:  # dense values of any alphabet, also where only a space separates
+            value = make(pick(dense), int(rng.integers(16, 48))) + pick(["", "", "="])
+            head = name + pick([" = ", ": ", "=", " ", ' = "', ': "', ": Bearer ", ": Basic "])
+        elif k % 4 == 1:  # passwords as people choose them: words, numbers, short ones, words with marks
+            value = pick([word() + word() + word() + "x", make("0123456789", int(rng.integers(4, 14))), word() + make("0123456789", 2), make(letters + "0123456789", int(rng.integers(5, 12))), f"{word()}-{word()}-{word()}", f"{word()}!{make('0123456789', 3)}", make("abcdefghijklmnopqrstuvwxyz", int(rng.integers(8, 22)))])
+            head = name + pick([" = ", ": ", "=", ' = "', ': "', ":"])
+        elif k % 4 == 2:  # mail names, versions, dates, numbers with units, numbers and words behind other names
+            head = pick([f"{make('abcdefg', 6)}{k}@mail{k % 9}.example.com", f"v{k}beta{k % 7}release", f"item{k:06d}", f"2024T{k:06d}Z", f"section{k % 40}page{k}", f"({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}", make("0123456789", 16), f"{word()}: {word()}{word()}", f"{word()} = {rng.integers(10**9)}", f"https://{word()}.example.com/{word()}/{word()}.html", f"name{k}x@mail{k}.example.com"])
+        else:  # credential words in prose
+            head = f"{name} {word()} {word()}"
+        quote = '"' if value and '"' in head else ""
+        line = f"{low} " * bool(low) + head
+        spans = [(len(line), len(line) + len(value))] if value else []
+        line += f"{value}{quote} {plain()}"
+        tokens, gaps, places = _tokens(line, 0, len(line))
+        lines.append((tokens, gaps, _labels(places, gaps, spans), file_features(line)))
     return lines
 
 
+def blocks(text: str) -> list[tuple[int, int]]:
+    """Parts of whole lines that cover the text."""
+    out, low = [], 0
+    while low < len(text):
+        high = len(text) if len(text) - low <= BLOCK else text.rfind("\n", low, low + BLOCK) + 1 or text.find("\n", low + BLOCK) + 1 or len(text)
+        out.append((low, high))
+        low = high
+    return out
+
+
 def extra_spans(text: str, model: Model, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans tagged by the field that no base span overlaps."""
-    out, of_file = [], None
-    for low, high in segments(text):
-        of_file = of_file or file_features(text)
-        tokens, places = _tokens(text, low, high)
-        start = None
-        for label, (s, e) in [*zip(model.decode(tokens, of_file), places, strict=True), ("O", (high, high))]:
-            if start is not None and (label != "I" or s != end):
-                out.append(("crf", start, end))
-                start = None
-            if label == "B":
-                start = s
-            end = e
+    out, of_file = [], file_features(text)
+    for low, high in blocks(text):
+        u, starts, ends, place = model.scores(_PIECE.findall(text, low, high), of_file)
+        labels = model.labels(u, place)
+        for i in np.flatnonzero(labels).tolist():
+            s, e = low + int(starts[i]), low + int(ends[i])
+            if labels[i] == 2 and out and out[-1][2] == s:
+                out[-1] = ("crf", out[-1][1], e)
+            else:
+                out.append(("crf", s, e))
     return [x for x in out if not any(a < x[2] and x[1] < b for _, a, b in base)]
 
 

@@ -231,6 +231,47 @@ def test_viterbi_is_the_best_path():
     assert model.decode(tokens, []) == "".join(secrets.LABELS[k] for k in best)
 
 
+def test_field_scores_every_token_and_decodes_exactly():
+    rng = np.random.default_rng(4)
+    model = secrets.Model(rng.normal(size=(1 << secrets.BITS, 3)), np.array([[0.3, -0.2, -1e9], [0.1, 0, 0.5], [0, 0.2, -0.1]]))
+    text = "pwd: abc/D9+x the key\n\n  Ключ = 12-ab.c! ^ abcdefghij\nx=" + "aB3/" * 5 + "\tand so on"
+    u, starts, ends, place = model.scores(secrets._PIECE.findall(text), ["file:size1"])
+    at = 0
+    for line in text.split("\n"):
+        tokens, gaps, places = secrets._tokens(line, 0, len(line))
+        for i in range(len(tokens)):
+            k = np.flatnonzero(starts == at + places[i][0])[0]
+            assert text[starts[k] : ends[k]] == tokens[i] and place[k] == i
+            assert np.allclose(u[k], model.weights[secrets.features(tokens, gaps, i, ["file:size1"])].sum(axis=0)), tokens[i]
+        at += len(line) + 1
+    for _ in range(400):
+        n = int(rng.integers(1, 8))
+        u = rng.normal(size=(n, 3)) * 3 + np.array([rng.integers(0, 5), 0, 0])
+        place = np.where((np.arange(n) >= 3) & (n > 4), np.arange(n) - 3, np.arange(n))
+        got, cuts = model.labels(u, place), [*np.flatnonzero(place == 0), n]
+        for a, b in itertools.pairwise(cuts):
+            score = lambda y: u[np.arange(a, b), list(y)].sum() + sum(model.steps[p, q] for p, q in itertools.pairwise(y)) + (-1e9 if y[0] == 2 else 0)  # noqa: B023, E731
+            assert score(got[a:b].tolist()) == pytest.approx(max(map(score, itertools.product(range(3), repeat=b - a))))
+
+
+def test_field_tags_tokens_of_any_form():
+    rng = random.Random(3)
+    value = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    model = secrets.train(secrets.training_lines([f'some words here token = "{value()}" and more' for _ in range(40)]))
+    for head, secret, tail in [
+        ("aws_secret_access_key = ", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ""),
+        ("pwd: ", "correcthorsebattery", ""),
+        ("Authorization: Bearer ", "qWmZxKrTbVnLpYsDfGhJkQeR", " was sent"),
+        ("pwd=", "88412", ""),
+        ("pwd: ", "hunter2", " for now"),
+        ("auth = ", "abc/def+ghiJKLmnopQRS123==", ""),
+    ]:
+        text = f"a line before\n{head}{secret}{tail}"
+        start = len("a line before\n") + len(head)
+        assert secrets.extra_spans(text, model, secrets.base_spans(text)) == [("crf", start, start + len(secret))], text
+    assert not secrets.extra_spans("the key is here and the mail is name3x@mail3.example.com", model, [])
+
+
 # 2. Tokens.
 
 
