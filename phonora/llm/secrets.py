@@ -9,7 +9,9 @@ needs the recursion.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -34,11 +36,10 @@ _PIECE = re.compile(r"[A-Za-z0-9]+|[+/_.=-]|[\x00-\x20]+|[^\x00-\x20A-Za-z0-9+/_
 #: Whole runs of letters and digits that hold a digit: places of training windows.
 _MAYBE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*", re.A)
 LABELS = "OBI"
-_DIGIT, _HEXES = re.compile("[0-9]"), re.compile("[0-9a-fA-F]+")
 #: Shortest token that looks like a key in training windows, hashed weights, and training lines at most.
 SHORTEST, BITS, LINES = 8, 14, 4000
 #: Tokens a worker keeps the scores of, and characters of lines scored at once (a longer line is one block).
-KEPT, BLOCK = 100_000, 1 << 18
+KEPT, BLOCK = 200_000, 1 << 18
 #: Words that introduce credentials, beyond those of the base patterns; used to make training lines.
 WORDS = ["pwd", "pass", "auth", "bearer", "credential", "private_key", "access_key", "client_secret", "key", "authorization"]
 
@@ -63,12 +64,6 @@ _CLASS = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "f"), **di
 _REPEAT = re.compile(r"(.)\1+", re.S)
 
 
-def shape(token: str) -> str:
-    """Character classes in order, runs squeezed."""
-    out = _REPEAT.sub(r"\1", token.translate(_CLASS))
-    return out[:6] if len(out) <= 6 else f"mix{len(set(out))}"
-
-
 def allowed(token: str) -> bool:
     """Whether a token looks like a key: a long run with a digit that is not a plain number."""
     return len(token) >= SHORTEST and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
@@ -79,10 +74,25 @@ def _index(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") >> (32 - BITS)
 
 
-def _context(token: str) -> list[int]:
-    """Places of the features of a lower-cased token before, two before and as a word before another token."""
-    d = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=6).digest()
-    return [int.from_bytes(d[k : k + 2], "little") >> (16 - BITS) for k in (0, 2, 4)]
+def _codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all tokens, their lengths, and where each starts."""
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32), size, np.cumsum(size) - size
+
+
+def _contexts(tokens: list[str]) -> np.ndarray:
+    """Places of the features of lower-cased tokens before, two before and as a word before another token."""
+    codes, size, start = _codes(tokens)
+    if not len(codes):
+        return np.zeros((len(tokens), 3), np.int64)
+    inside = np.arange(len(codes)) - np.repeat(start, size)
+    h = (codes.astype(np.uint64) + np.uint64(1)) * (np.uint64(0x9E3779B97F4A7C15) * (2 * inside.astype(np.uint64) + np.uint64(1)))
+    h = np.add.reduceat(h ^ (h >> np.uint64(29)), start) + size.astype(np.uint64)
+    out = []
+    for salt in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93):
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(salt)
+        out.append((x >> np.uint64(64 - BITS)).astype(np.int64))
+    return np.stack(out, axis=1)
 
 
 def file_features(text: str) -> list[str]:
@@ -92,11 +102,29 @@ def file_features(text: str) -> list[str]:
     return [f"file:size{int(math.log10(n))}", f"file:code{min(4, int(200 * marks / n))}", f"file:lines{min(4, int(math.log10(text.count(chr(10)) + 1)))}"]
 
 
-def own_names(t: str) -> tuple[str, ...]:
-    n = len(t)
-    counts = [t.count(c) for c in set(t)]
-    entropy = math.log2(n) - sum(c * math.log2(c) for c in counts) / n
-    return "1", f"shape:{shape(t)}", f"len:{min(n // 4, 12)}", f"digits:{5 * len(_DIGIT.findall(t)) // n}", f"entropy:{int(2 * entropy + 1e-9)}", f"hex:{_HEXES.fullmatch(t) is not None}"
+def own_features(tokens: list[str]) -> np.ndarray:
+    """Places of the features of the tokens' own form: shape, length, digits, entropy, hexadecimal, and one for all."""
+    codes, size, start = _codes(tokens)
+    shapes = [x if len(x) <= 6 else f"mix{len(set(x))}" for x in _REPEAT.sub(r"\1", "\0".join(tokens).translate(_CLASS)).split("\0")]
+    digit = (codes >= 48) & (codes <= 57)
+    low = codes | np.uint32(32)
+    hexes = np.minimum.reduceat(digit | (low >= 97) & (low <= 102), start)
+    order = np.sort((np.repeat(np.arange(len(size)), size).astype(np.uint64) << np.uint64(21)) | codes)
+    first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+    count = np.diff(np.append(first, len(order))).astype(float)
+    entropy = np.log2(size) - np.bincount((order[first] >> np.uint64(21)).astype(np.int64), count * np.log2(count), len(size)) / size
+    named = lambda kind, values: np.array([_index(f"{kind}:{v}") for v in values])
+    return np.stack(
+        [
+            np.full(len(size), _index("1")),
+            named("shape", shapes),
+            named("len", range(13))[np.minimum(size // 4, 12)],
+            named("digits", range(6))[5 * np.add.reduceat(digit, start, dtype=np.int64) // size],
+            named("entropy", range(64))[np.clip((2 * entropy + 1e-9).astype(np.int64), 0, 63)],
+            named("hex", (False, True))[hexes.astype(np.int64)],
+        ],
+        axis=1,
+    )
 
 
 def is_word(t: str) -> bool:
@@ -117,12 +145,17 @@ def in_run(t: str) -> bool:
     return t[0] in "+/_.=-" or t.isascii() and t.isalnum()
 
 
-def features(tokens: list[str], gaps: list[bool], i: int, of_file: list[str]) -> list[int]:
-    """Places of the features of a token of a line; ``gaps`` tells which tokens follow white space."""
-    near = lambda k: tokens[i + k].lower() if 0 <= i + k < len(tokens) else "^"
-    words = [w for k in range(max(0, i - 6), i) if is_word(w := tokens[k].lower())][-2:]
-    names = [*own_names(tokens[i]), f"next:{near(1)[:2]}", f"gap:{int(gaps[i])}", f"run:{min(glued_length(tokens, gaps, i) // 4, 12)}"]
-    return [*map(_index, [*names, *of_file]), _context(near(-1))[0], _context(near(-2))[1], *(_context(w)[2] for w in words)]
+def features(tokens: list[str], gaps: list[bool], of_file: list[str]) -> list[list[int]]:
+    """Places of the features of each token of a line; ``gaps`` tells which tokens follow white space."""
+    lows = [t.lower() for t in tokens]
+    own, context = own_features(tokens).tolist(), _contexts([*lows, "^"]).tolist()
+    out = []
+    for i in range(len(tokens)):
+        words = [k for k in range(max(0, i - 6), i) if is_word(lows[k])][-2:]
+        names = [f"next:{lows[i + 1][:2] if i + 1 < len(lows) else '^'}", f"gap:{int(gaps[i])}", f"run:{min(glued_length(tokens, gaps, i) // 4, 12)}"]
+        before = [context[i - 1 if i else -1][0], context[i - 2 if i > 1 else -1][1]]
+        out.append([*own[i], *map(_index, [*names, *of_file]), *before, *(context[k][2] for k in words)])
+    return out
 
 
 class Pieces(dict):
@@ -132,25 +165,30 @@ class Pieces(dict):
         super().__init__()
         self.weights = weights
         self.sums = np.zeros((1024, 5, 3))  # as the one before, two before, a word before, behind, the token itself
-        self.own: dict[tuple[str, ...], np.ndarray] = {}
         self.kind = np.zeros((1024, 5), np.int64)  # length, space, line end, part of a run, word
-        self["^"]
+        self.learn(["^"])
 
-    def __missing__(self, t: str) -> int:
-        k = len(self)
-        if k == len(self.sums):
+    def learn(self, new: list[str]) -> None:
+        """Number pieces that are not known yet."""
+        spaces, tokens = [t for t in new if t[0] <= " "], [t for t in new if t[0] > " "]
+        low, n = len(self), len(self) + len(new)
+        while n > len(self.sums):
             self.sums, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.kind))
-        space = t[0] <= " "
-        self.kind[k] = len(t), space, "\n" in t, not space and in_run(t), not space and is_word(t.lower())
-        if not space:
-            low = t.lower()
-            names = own_names(t)
-            if names not in self.own:
-                self.own[names] = self.weights[[_index(x) for x in names]].sum(axis=0)
-            self.sums[k, :4] = self.weights[[*_context(low), _index(f"next:{low[:2]}")]]
-            self.sums[k, 4] = self.own[names]
-        self[t] = k
-        return k
+        self.update(zip([*spaces, *tokens], range(low, n), strict=True))
+        at = low + len(spaces)
+        self.kind[low:at] = [(len(t), 1, "\n" in t, 0, 0) for t in spaces] or np.zeros((0, 5), np.int64)
+        if tokens:
+            lows = "\0".join(tokens).lower().split("\0")
+            self.kind[at:n] = [(len(t), 0, 0, in_run(t), is_word(x)) for t, x in zip(tokens, lows, strict=True)]
+            self.sums[at:n, :3] = self.weights[_contexts(lows)]
+            self.sums[at:n, 3] = self.weights[[_index("next:" + x[:2]) for x in lows]]
+            self.sums[at:n, 4] = self.weights[own_features(tokens)].sum(axis=1)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        new = set(pieces) - self.keys()
+        if new:
+            self.learn(sorted(new))
+        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
 
 
 @dataclass
@@ -167,10 +205,10 @@ class Model:
             pieces = self.__dict__["pieces"] = Pieces(self.weights)
         return pieces
 
-    def scores(self, pieces: list[str], of_file: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(scores, starts, ends, place in the line) of the tokens among the pieces of whole lines."""
+    def scores(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(scores without file features, starts, ends, place in the line) of the tokens among the pieces of whole lines."""
         known = self._pieces()
-        ids = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        ids = known.numbers(pieces)
         kind = known.kind[ids]
         end = np.cumsum(kind[:, 0])
         at = np.flatnonzero(kind[:, 1] == 0)
@@ -198,12 +236,15 @@ class Model:
             some = some[word[some - k]]
             u[some] += known.sums[ids[some - k], 2]
             taken[some] += 1
-        u += self.weights[[_index(x) for x in of_file]].sum(axis=0)
         return u, end[at] - length, end[at], place
 
+    def of_file(self, names: list[str]) -> np.ndarray:
+        """What the file features add to the scores of every token of a text."""
+        return self.weights[[_index(x) for x in names]].sum(axis=0)
+
     def unary(self, tokens: list[str], of_file: list[str]) -> np.ndarray:
         """Scores of the labels of the tokens of one line, spaces between them."""
-        return self.scores([x for t in tokens for x in (" ", t)], of_file)[0]
+        return self.scores([x for t in tokens for x in (" ", t)])[0] + self.of_file(of_file)
 
     def labels(self, u: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The best label of each token of lines that start where ``place`` is 0; an O is never followed by an I.
@@ -228,11 +269,9 @@ class Model:
         sure[alone] = True
         some = np.flatnonzero(~sure)
         if len(some):
-            edges = np.flatnonzero((np.diff(some) != 1) | (place[some[1:]] == 0)) + 1
-            steps = t.tolist()
-            for part in np.split(some, edges):
-                low, high = int(part[0]), int(part[-1])
-                out[low : high + 1] = _best(u[low : high + 1].tolist(), steps, place[low] > 0, not last[high])
+            edge = np.flatnonzero((np.diff(some) != 1) | (place[some[1:]] == 0)) + 1
+            low, high = some[np.append(0, edge)], some[np.append(edge - 1, len(some) - 1)] + 1
+            _best(out, u, t, low, high, place[low] > 0, ~last[high - 1])
         return out
 
     def decode(self, tokens: list[str], of_file: list[str]) -> str:
@@ -240,20 +279,23 @@ class Model:
         return "".join(LABELS[k] for k in self.labels(self.unary(tokens, of_file), np.arange(len(tokens))))
 
 
-def _best(u: list[list[float]], steps: list[list[float]], after_o: bool, before_o: bool) -> list[int]:
-    """Viterbi over the scores of neighbouring tokens, with an O on either side or the end of the line."""
-    best = [a + b for a, b in zip(u[0], steps[0] if after_o else (0.0, 0.0, -1e9), strict=True)]
-    back = []
-    for row in u[1:]:
-        come = [max(range(3), key=lambda a: best[a] + steps[a][y]) for y in range(3)]  # noqa: B023
-        best = [best[come[y]] + steps[come[y]][y] + row[y] for y in range(3)]
-        back.append(come)
-    if before_o:
-        best = [best[y] + steps[y][0] for y in range(3)]
-    path = [max(range(3), key=best.__getitem__)]
-    for come in reversed(back):
-        path.append(come[path[-1]])
-    return path[::-1]
+def _best(out: np.ndarray, u: np.ndarray, steps: np.ndarray, low: np.ndarray, high: np.ndarray, after_o: np.ndarray, before_o: np.ndarray) -> None:
+    """Viterbi over many stretches of tokens at a time, each with an O on either side or the end of the line."""
+    order = np.argsort(low - high, kind="stable")  # the longest first, so that those that go on are a prefix
+    low, high, after_o, before_o = low[order], high[order], after_o[order], before_o[order]
+    size = high - low
+    back = np.zeros((len(u), 3), np.int8)
+    best = u[low] + np.where(after_o[:, None], steps[0], [0.0, 0.0, -1e9])
+    for k in range(1, int(size[0])):
+        n = np.searchsorted(-size, -k)  # stretches of more than k tokens
+        come = best[:n, :, None] + steps
+        back[low[:n] + k] = come.argmax(axis=1)
+        best[:n] = come.max(axis=1) + u[low[:n] + k]
+    label = (best + before_o[:, None] * steps[:, 0]).argmax(axis=1).astype(np.int8)
+    for k in range(int(size[0]) - 1, -1, -1):
+        n = np.searchsorted(-size, -k)
+        out[low[:n] + k] = label[:n]
+        label[:n] = back[low[:n] + k, label[:n]]
 
 
 def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
@@ -270,7 +312,7 @@ def train(lines: list[tuple[list[str], list[bool], str, list[str]]], epochs: int
     made = []
     for tokens, gaps, y, of_file in lines:
         if tokens:
-            at = [features(tokens, gaps, i, of_file) for i in range(len(tokens))]
+            at = features(tokens, gaps, of_file)
             made.append((np.array([i for i, f in enumerate(at) for _ in f]), np.array([x for f in at for x in f]), np.array([LABELS.index(c) for c in y])))
     for _ in range(epochs):
         order = np.argsort([len(y) + 8 * rng.random() for _, _, y in made])  # lines of like length share a group
@@ -413,53 +455,79 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def extra_spans(text: str, model: Model, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans tagged by the field that no base span overlaps."""
-    out, of_file = [], file_features(text)
-    for low, high in blocks(text):
-        u, starts, ends, place = model.scores(_PIECE.findall(text, low, high), of_file)
-        labels = model.labels(u, place)
-        for i in np.flatnonzero(labels).tolist():
-            s, e = low + int(starts[i]), low + int(ends[i])
-            if labels[i] == 2 and out and out[-1][2] == s:
-                out[-1] = ("crf", out[-1][1], e)
+def extra_spans(texts: list[str], model: Model, base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+    """For each text, the spans tagged by the field that no base span overlaps.
+
+    Parts of many texts are scored and decoded at a time, with line ends between them.
+    """
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    files = np.stack([model.of_file(file_features(t)) for t in texts]) if texts else np.zeros((0, 3))
+    parts = [(i, low, high) for i, t in enumerate(texts) for low, high in blocks(t)]
+    held, first = 0, 0
+    for k, (_, low, high) in enumerate(parts):
+        held += high - low
+        if held < BLOCK and k + 1 < len(parts):
+            continue
+        some = parts[first : k + 1]
+        owner, lows = np.array([i for i, _, _ in some]), np.array([low for _, low, _ in some])
+        begin = np.cumsum([0, *(high - low + 1 for _, low, high in some[:-1])])
+        u, starts, ends, place = model.scores(_PIECE.findall("\n".join(texts[i][low:high] for i, low, high in some)))
+        part = np.searchsorted(begin, starts, "right") - 1
+        labels = model.labels(u + files[owner[part]], place)
+        found = np.flatnonzero(labels)
+        shift = (lows - begin)[part[found]]
+        for y, i, s, e in zip(labels[found].tolist(), owner[part[found]].tolist(), (starts[found] + shift).tolist(), (ends[found] + shift).tolist(), strict=True):
+            spans = out[i]
+            if y == 2 and spans and spans[-1][2] == s:
+                spans[-1] = ("crf", spans[-1][1], e)
             else:
-                out.append(("crf", s, e))
-    return [x for x in out if not any(a < x[2] and x[1] < b for _, a, b in base)]
+                spans.append(("crf", s, e))
+        held, first = 0, k + 1
+    return [apart(x, b) for x, b in zip(out, base, strict=True)]
 
 
-def _sample(docs: DataFrame, rows: int, chars: int = 50_000) -> list[str]:
-    """Texts of a bounded sample: half with a base match, half with other candidates."""
+def apart(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of ``base``, which is sorted by start."""
+    if not spans or not base:
+        return spans
+    begin, reach = [a for _, a, _ in base], list(itertools.accumulate((b for _, _, b in base), max))
+    return [x for x in spans if not (n := bisect.bisect_left(begin, x[2])) or reach[n - 1] <= x[1]]
+
+
+def _sample(docs: DataFrame, rows: int, chars: int) -> list[str]:
+    """Texts of a bounded sample by the order of a hash: half with a base match, half with another run that holds a digit."""
     text = F.col("text").cast("string")
-    rows_ = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text")).filter("text is not null").filter(F.length("text") <= chars)
-    total = max(docs.count(), 1)
-    share = min(1.0, 40 * rows / total)
+    rows_ = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text")).filter(F.length("text") <= chars)
+    share = min(1.0, 20 * rows / max(docs.count(), 1))
     rows_ = rows_.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    candidate = F.col("text").rlike(r"[A-Za-z]*[0-9][A-Za-z0-9]{7,}")
-    found = rows_.filter(candidate).limit(rows).collect()
-    return [r["text"] for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+    match = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    other = F.col("text").rlike(r"[0-9]")
+    rows_ = rows_.withColumn("_kind", F.when(match, 0).when(other, 1)).filter("_kind is not null").withColumn("_order", F.xxhash64("doc_id", "text"))
+    found = [r for kind in (0, 1) for r in rows_.filter(F.col("_kind") == kind).orderBy("_order", "doc_id").limit(rows // 2).collect()]
+    return [r["text"] for r in found]
 
 
-def scan(docs: DataFrame, sample_rows: int = 1500) -> DataFrame:
+def scan(docs: DataFrame, sample_rows: int = 1500, sample_chars: int = 20_000) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf) for every row of ``docs``.
 
     Offsets are code points, ends exclusive.  Null and empty texts have no spans.  The field is trained
-    on up to ``sample_rows`` documents labelled by the base patterns and on lines made by rule.
-    Repeated rows get equal results; only doc_id and text are read.
+    on up to ``sample_rows`` documents of up to ``sample_chars`` characters, labelled by the base patterns
+    and chosen by a hash, and on lines made by rule; it tags whole texts of any length.  Repeated rows get
+    equal results; only doc_id and text are read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(training_lines(_sample(docs, sample_rows))))
-
-    def one(text: str | None) -> tuple:
-        base = base_spans(text) if text else []
-        extra = extra_spans(text, model.value, base) if text else []
-        n = Counter(k for k, _, _ in base)
-        spans = sorted([*base, *extra], key=lambda x: (x[1], (*KINDS, "crf").index(x[0])))
-        return n["assign"], n["access"], n["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(extra)
+    model = docs.sparkSession.sparkContext.broadcast(train(training_lines(_sample(docs, sample_rows, sample_chars))))
+    order = (*KINDS, "crf").index
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = list(zip(*map(one, batch.column(1).to_pylist()), strict=True))
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        bases = [base_spans(t) for t in texts]
+        rows = []
+        for base, extra in zip(bases, extra_spans(texts, model.value, bases), strict=True):
+            n = Counter(k for k, _, _ in base)
+            spans = sorted([*base, *extra], key=lambda x: (x[1], order(x[0])))
+            rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(extra)))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
