@@ -18,6 +18,8 @@ from phonora.llm.common import durable
 
 #: Edges that one local union-find holds at a time.
 CHUNK = 500_000
+#: Neighbours from which a node is a hub, and hubs whose smallest neighbours are broadcast; beyond, they are shuffled.
+HUB, BROADCAST_HUBS = 512, 1_000_000
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -69,17 +71,31 @@ def _signature(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _with_lowest(both: DataFrame, hub: int) -> DataFrame:
+    """The rows of ``both`` with b > a, and with the smallest of ``a`` and its neighbours as low.
+
+    The rows of a hub stay where they are and get its minimum by broadcast; the number of hubs is checked first.
+    """
+    low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select(F.col("a").alias("at"), F.least("a", "low").alias("low"), "n")
+    above, same = both.filter("b > a"), F.col("a") == F.col("at")
+    hubs = low.filter(F.col("n") > hub)
+    n_hubs = hubs.limit(BROADCAST_HUBS + 1).count()
+    if not n_hubs or n_hubs > BROADCAST_HUBS:
+        return above.join(low.drop("n"), same)
+    hubs = F.broadcast(durable(hubs.drop("n")))
+    return above.join(hubs, same, "left_anti").join(low.drop("n"), same).unionByName(above.join(hubs, same))
+
+
+def _stars(edges: DataFrame, hub: int) -> DataFrame:
     """One large-star and one small-star step over edges with a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("at"), F.least("a", "low").alias("low"))
-    large = both.filter("b > a").join(low, F.col("a") == F.col("at")).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    large = _with_lowest(both, hub).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
     low = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at")
     small = large.join(low, F.col("a") == F.col("at")).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return small.unionByName(low.select(F.col("at").alias("a"), F.col("low").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots: root is the smallest node reachable.
 
     Self-loops and repeated edges have no effect; an empty table gives an empty result.
@@ -90,7 +106,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
-        edges = durable(_stars(edges).mapInArrow(_contract, "a long, b long"))
+        edges = durable(_stars(edges, hub).mapInArrow(_contract, "a long, b long"))
         after = _signature(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
