@@ -2,8 +2,10 @@
 
 Character-shingle signatures are banded for high recall; lines that share a band are verified by
 exact Jaccard similarity; a distributed union-find joins the verified links, and one line of each
-component stays: the first by (doc_id, position).  Line texts are shuffled only for lines that share
-a band with another, and a line goes once to each distinct set of lines it meets.
+component stays: the first by (doc_id, text, position).  Line texts are shuffled only for lines that
+share a band with another, and a line goes once to each distinct set of lines it meets.  A band of very
+many lines is contracted first: its lines are compared in tiles, each with the same few others, and
+only lines that are not connected by then are compared across tiles.
 """
 
 from __future__ import annotations
@@ -14,23 +16,22 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonora.llm.common import bounded_batches, durable, fresh, text_buffers
+from phonora.llm.common import durable, fresh, one_row, slices, text_buffers
 from phonora.llm.components import components, local_roots
-from phonora.llm.tiles import BROADCAST_KEYS, by_group
+from phonora.llm.tiles import by_group
 
 SHINGLE, SIMILARITY = 8, 0.8
 #: Bands and rows of each: a pair of similarity 0.8 shares a band with probability 0.985, one of 0.9 with 0.9998.
 BANDS, ROWS = 8, 4
-#: Lines of one band that one task compares; larger sets are cut into pairs of tiles.
-TILE = 512
-#: Characters of a set of lines up to which the shingles of all its lines are held at a time.
-HELD = 2_000_000
+#: Lines of one band that one task compares, and lines of a larger band that are compared with all its tiles.
+TILE, CENTRES = 512, 16
+#: Characters of lines whose shingles are held at a time; larger sets are compared two lines at a time.
+HELD = 1 << 20
 #: Characters hashed in one pass; line ids that a task remembers so as not to send copies again.
 PASS, REMEMBER = 1 << 18, 1 << 17
-_LAST = (1 << 63) - 1
 _A = np.random.default_rng(1).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = np.random.default_rng(2).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
@@ -79,7 +80,7 @@ def _bands(docs: DataFrame) -> DataFrame:
             names = np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS)
             return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(names)], ["band", "line"])
 
-        for batch in batches:
+        for batch in slices(batches):
             held = 0
             for text in text_buffers(batch.column(0)):
                 for line in text.split(b"\n"):
@@ -101,7 +102,6 @@ def _bands(docs: DataFrame) -> DataFrame:
                 yield out()
                 ids, texts = [], []
 
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "band long, line long")
 
 
@@ -109,11 +109,12 @@ def _sets(tile: int):
     """(band, line) sorted -> (set, line, tile, hot): lines of bands with several lines.
 
     Bands with the same lines make the same set.  A band of more than ``tile`` lines is hot: its rows pass
-    through in tiles, never all at once.
+    through in tiles, never all at once; the first lines of its first tile are its centres.
     """
 
-    def batch_of(name: np.ndarray, line: np.ndarray, tiles: np.ndarray, hot: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(line), pa.array(tiles, pa.int64()), pa.array(np.full(len(line), hot))], ["set", "line", "tile", "hot"])
+    def batch_of(name: np.ndarray, line: np.ndarray, nth: np.ndarray, hot: bool) -> pa.RecordBatch:
+        columns = [pa.array(name), pa.array(line), pa.array(nth // tile, pa.int64()), pa.array(np.full(len(line), hot)), pa.array((nth < CENTRES) & hot)]
+        return pa.RecordBatch.from_arrays(columns, ["set", "line", "tile", "hot", "centre"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_b, rest_l, passed, last = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, None
@@ -140,7 +141,7 @@ def _sets(tile: int):
             if passed:  # the band that is passing through goes on, or has ended
                 if b[0] == last[0]:
                     n = stop[0]
-                    yield batch_of(b[:n], x[:n], (passed + np.arange(n)) // tile, True)
+                    yield batch_of(b[:n], x[:n], passed + np.arange(n), True)
                     passed, last, first = passed + n, (int(b[0]), int(x[n - 1])), 1
                 if first == 0 or len(at) > 1 or end:
                     passed = 0
@@ -148,14 +149,14 @@ def _sets(tile: int):
                 keep = at[-1]  # the last band may go on
                 rest_b, rest_l, at, stop = b[keep:], x[keep:], at[first:-1], stop[first:-1]
                 if len(rest_b) > tile:
-                    yield batch_of(rest_b, rest_l, np.arange(len(rest_b)) // tile, True)
+                    yield batch_of(rest_b, rest_l, np.arange(len(rest_b)), True)
                     passed, last = len(rest_b), (int(rest_b[0]), int(rest_l[-1]))
                     rest_b, rest_l = rest_b[:0], rest_l[:0]
             else:
                 rest_b, rest_l, at, stop = b[:0], x[:0], at[first:], stop[first:]
             size = stop - at
             for s, e in zip(at[size > tile].tolist(), stop[size > tile].tolist(), strict=True):
-                yield batch_of(b[s:e], x[s:e], np.arange(e - s) // tile, True)
+                yield batch_of(b[s:e], x[s:e], np.arange(e - s), True)
             some = (size > 1) & (size <= tile)
             if some.any():
                 at, size = at[some], size[some]
@@ -173,18 +174,76 @@ def shingles(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(len(text) - SHINGLE + 1, 1))}
 
 
-def link(texts: list[str], similarity: float = SIMILARITY) -> np.ndarray:
-    """Smallest index of each line's component over pairs of Jaccard similarity ``similarity`` or more.
+class Shingled:
+    """The different shingles of each of many lines, as numbers that are equal where the shingles are."""
+
+    def __init__(self, texts: list[str]) -> None:
+        gap = "\0" * SHINGLE
+        codes = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        size = np.array([len(t) for t in texts], np.int64)
+        count = np.maximum(size - SHINGLE + 1, 1)
+        begin = np.cumsum(size + SHINGLE) - size - SHINGLE
+        offsets = np.cumsum(count) - count
+        codes[(begin + size)[:, None] + np.arange(SHINGLE)] = 0x110000  # no character, unlike zero
+        at = np.repeat(begin - offsets, count) + np.arange(count.sum())
+        alphabet, letter = np.unique(codes, return_inverse=True)
+        # a shingle of eight letters is a number in base len(alphabet); where that overflows, two halves are numbered
+        high = _numbers(letter, SHINGLE, len(alphabet)) if len(alphabet) <= 255 else _halves(letter, len(alphabet))
+        _, key = np.unique(high[at], return_inverse=True)
+        self.kinds = int(key.max()) + 1
+        pairs = np.unique(np.repeat(np.arange(len(texts)), count) * self.kinds + key)
+        self.of, self.key = pairs // self.kinds, (pairs % self.kinds).astype(np.int32)
+        self.size = np.bincount(self.of, minlength=len(texts))
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        self._flag = np.zeros(self.kinds, np.int32)
+
+    def common(self, low: int, high: int, i: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles line ``i`` shares with ``others``, all of them lines from ``low`` to ``high``."""
+        mine = self.key[self.start[i] : self.end[i]]
+        self._flag[mine] = 1
+        both = np.add.reduceat(self._flag[self.key[self.start[low] : self.end[high - 1]]], self.start[low:high] - self.start[low])
+        self._flag[mine] = 0
+        return both[others - low]
+
+    def neighbours(self, first: np.ndarray) -> np.ndarray:
+        """How many shingles each line of ``first`` shares with the line after it."""
+        size = self.size[first] + self.size[first + 1]
+        at = np.repeat(self.start[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        code = np.sort(np.repeat(np.arange(len(first)), size) * self.kinds + self.key[at])
+        twice = code[1:][code[1:] == code[:-1]]
+        return np.bincount(twice // self.kinds, minlength=len(first))
+
+
+def _numbers(letter: np.ndarray, n: int, base: int) -> np.ndarray:
+    """The number, one to one, of each ``n`` letters in a row, n a power of two; base ** n must fit 64 bits."""
+    h, step, p = letter.astype(np.uint64), 1, base
+    while step < n:
+        h, step, p = np.append(h[:-step] * np.uint64(p) + h[step:], h[-step:]), 2 * step, p * p
+    return h
+
+
+def _halves(letter: np.ndarray, base: int) -> np.ndarray:
+    """The same for any alphabet: letters, then twos, fours and eights are numbered anew."""
+    h, step = letter.astype(np.int64), 1
+    while step < SHINGLE:
+        pair = h[:-step] * (int(h.max()) + 1) + h[step:]
+        _, h = np.unique(np.append(pair, np.full(step, -1)), return_inverse=True)
+        step *= 2
+    return h
+
+
+def _similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    return both >= similarity * (a + b - both) - 1e-9
+
+
+def link(n: int, near_of) -> np.ndarray:
+    """Smallest index of each line's component, given which of some others a line is similar to.
 
     A line is compared with all others unless every line not yet compared is in one component with it,
     so every pair is either compared or already connected.
     """
-    if len(texts) == 2:
-        x, y = map(shingles, texts)
-        both = len(x & y)
-        return np.array([0, 0 if both >= similarity * (len(x) + len(y) - both) - 1e-9 else 1])
-    label, open_ = np.arange(len(texts)), np.ones(len(texts), bool)
-    near_of = _all_at_once(texts, similarity) if sum(map(len, texts)) <= HELD else _one_by_one(texts, similarity)
+    label, open_ = np.arange(n), np.ones(n, bool)
     while True:
         names, counts = np.unique(label[open_], return_counts=True)
         if len(names) < 2:
@@ -192,148 +251,239 @@ def link(texts: list[str], similarity: float = SIMILARITY) -> np.ndarray:
         i = int(np.flatnonzero(open_ & (label == names[counts.argmin()]))[0])
         open_[i] = False
         near = near_of(i, np.flatnonzero(label != label[i]))
-        label = local_roots(np.full(len(near), label[i]), label[near], len(texts))[label]
-
-
-def _all_at_once(texts: list[str], similarity: float):
-    """Which of ``others`` are similar to line ``i``; shingles of all lines are numbered and held."""
-    ids: dict[str, int] = {}
-    sets = [np.array([ids.setdefault(s, len(ids)) for s in shingles(t)], np.int32) for t in texts]
-    size = np.array([len(s) for s in sets])
-    flat, offsets = np.concatenate(sets), np.cumsum(size) - size
-    flag = np.zeros(len(ids), np.int32)
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        flag[sets[i]] = 1
-        both = np.add.reduceat(flag[flat], offsets)[others]
-        flag[sets[i]] = 0
-        return others[both >= similarity * (size[others] + size[i] - both) - 1e-9]
-
-    return near
+        label = local_roots(np.full(len(near), label[i]), label[near], n)[label]
+
+
+def roots(groups: list[list[str]], similarity: float = SIMILARITY) -> list[np.ndarray]:
+    """For each group of lines, the smallest index of each line's component over pairs of that similarity."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(groups)
+    size = [sum(map(len, g)) for g in groups]
+    low = held = 0
+    for k in range(len(groups) + 1):
+        if k == len(groups) or size[k] > HELD or held + size[k] > HELD:
+            if low < k:
+                out[low:k] = _all_at_once(groups[low:k], similarity)
+            low, held = k, 0
+        if k < len(groups) and size[k] > HELD:
+            out[k], low = link(len(groups[k]), _one_by_one(groups[k], similarity)), k + 1
+        elif k < len(groups):
+            held += size[k]
+    return out
+
+
+def _all_at_once(groups: list[list[str]], similarity: float) -> list[np.ndarray]:
+    x = Shingled([t for g in groups for t in g])
+    n = np.array([len(g) for g in groups])
+    begin = np.cumsum(n) - n
+    pair = np.flatnonzero(n == 2)
+    out = [np.arange(k) for k in n.tolist()]
+    if len(pair):
+        a = begin[pair]
+        near = _similar(x.neighbours(a), x.size[a], x.size[a + 1], similarity)
+        for g in pair[near].tolist():
+            out[g] = np.zeros(2, np.int64)
+    for g in np.flatnonzero(n > 2).tolist():
+        low, high = int(begin[g]), int(begin[g] + n[g])
+
+        def near_of(i: int, others: np.ndarray) -> np.ndarray:
+            both = x.common(low, high, low + i, low + others)  # noqa: B023
+            return others[_similar(both, x.size[low + others], x.size[low + i], similarity)]  # noqa: B023
+
+        out[g] = link(high - low, near_of)
+    return out
 
 
 def _one_by_one(texts: list[str], similarity: float):
-    """The same with the shingles of two lines at a time, for sets of very long lines."""
+    """Which of ``others`` are similar to line ``i``, with the shingles of two lines at a time."""
 
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        mine, found = shingles(texts[i]), []
-        for j in others.tolist():
-            other = shingles(texts[j])
-            both = len(mine & other)
-            if both >= similarity * (len(mine) + len(other) - both) - 1e-9:
-                found.append(j)
-        return np.array(found, np.int64)
+    def near_of(i: int, others: np.ndarray) -> np.ndarray:
+        mine = shingles(texts[i])
+        both = np.array([(len(mine & other), len(other)) for other in (shingles(texts[j]) for j in others.tolist())], np.int64).reshape(-1, 2)
+        return others[_similar(both[:, 0], both[:, 1], len(mine), similarity)]
 
-    return near
+    return near_of
 
 
 def _verify(similarity: float):
     def run(columns: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         names, texts = columns[2], columns[3]
+        some = [(int(s), int(e)) for s, e in zip(starts[:-1], starts[1:], strict=True) if e - s > 1]
         a, b = [], []
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            name, first = np.unique(names[s:e], return_index=True)
-            if len(name) < 2:
-                continue
-            label = link([normal(texts[s + i]) for i in first], similarity)
-            moved = label != np.arange(len(name))
-            a.append(name[moved])
-            b.append(name[label[moved]])
+        for (s, e), label in zip(some, roots([[normal(t) for t in texts[s:e]] for s, e in some], similarity), strict=True):
+            moved = label != np.arange(e - s)
+            a.append(names[s:e][moved])
+            b.append(names[s:e][label[moved]])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return by_group(2, run)
 
 
+def _text() -> Column:
+    return F.col("text").cast("string")
+
+
+def _hash() -> Column:
+    """Names a text; rows of equal doc_id and equal text are copies of one row."""
+    return F.xxhash64(_text())
+
+
+def _has_lines() -> Column:
+    return F.coalesce(F.length(F.btrim(_text(), F.lit(" \n"))) > 0, F.lit(False))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, doc, pos, line, name): every line that is not blank; doc is doc_id, null as the greatest."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    rows = rows.filter("length(trim(line)) > 0")
-    return rows.withColumns({"name": F.xxhash64("line"), "doc": F.coalesce("doc_id", F.lit(_LAST))})
+    """(doc_id, text_hash, pos, line, name): every line that is not blank."""
+    rows = docs.select("doc_id", _hash().alias("text_hash"), F.posexplode(F.split(_text(), "\n")).alias("pos", "line"))
+    return rows.filter("length(trim(line)) > 0").withColumn("name", F.xxhash64("line"))
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """``df`` with at_doc and at_pos read back from place."""
-    df = df.withColumn("at_pos", F.expr(f"cast(pmod(place, {1 << 31}BD) as int)"))
-    return df.withColumn("at_doc", F.expr(f"(place - at_pos) div {1 << 31}BD"))
+def _where(place: str, name: str) -> Column:
+    """Whether a row of a line table is the one at ``place``, a struct of (doc_id is null, doc_id, text_hash, pos)."""
+    at = lambda c: F.col(f"{place}.{c}")
+    return (F.col("name") == F.col(name)) & F.col("doc_id").eqNullSafe(at("doc_id")) & (F.col("text_hash") == at("text_hash")) & (F.col("pos") == at("pos"))
 
 
-def first_places(docs: DataFrame) -> DataFrame:
-    """(name, place, n): where each different line comes first, as one number, and how often it comes."""
-    place = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")).cast("decimal(38,0)")
-    return durable(_lines(docs).select("name", place.alias("place")).groupBy("name").agg(F.min("place").alias("place"), F.count("*").alias("n")))
+def _meetings(found: DataFrame, tile: int) -> DataFrame:
+    """(set, pair, line): lines to compare within equal (set, pair).  A hot set's tiles are apart, its centres in each."""
+    cold = found.filter("not hot").select("set", F.lit(0).cast("long").alias("pair"), "line")
+    hot = found.filter("hot")
+    tiles = hot.groupBy("set").agg(F.max("tile").alias("last")).withColumnRenamed("set", "_set")
+    centres = hot.filter("centre").join(tiles, F.col("set") == F.col("_set")).select("set", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pair"), "line")
+    return cold.unionByName(hot.select("set", F.col("tile").alias("pair"), "line")).unionByName(centres)
 
 
-def links(docs: DataFrame, first: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between different lines, by name, that connect all verified pairs.
+def _across(hot: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
+    """(set, pair, line) for lines of hot sets that are not in one component yet, by the components ``labels``.
 
-    The text of a line is taken from its first place, so a line that many documents repeat is sent once.
+    The lines of a large component fill tiles of their own, those of small ones share tiles; two tiles meet
+    unless both are of one component.
     """
-    found = _bands(docs).repartition("band").sortWithinPartitions("band", "line").mapInArrow(_sets(tile), "set long, line long, tile long, hot boolean")
-    found = durable(found)
-    cold = found.filter("not hot").select("set", F.lit(0).cast("long").alias("pair"), "line")
+    rows = hot.select("set", "line").join(labels, F.col("line") == F.col("node"), "left").select("set", "line", F.coalesce("root", "line").alias("label"))
+    sizes = rows.groupBy("set", "label").agg(F.count("*").alias("n"))
+    sets = sizes.groupBy("set").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= tile, F.col("n"))).alias("small")).filter("labels > 1")
+    sizes = sizes.join(sets, "set").withColumn("own", F.when(F.col("n") > tile, F.col("label")))
+    parts = F.when(F.col("own").isNull(), F.ceil(F.col("small") / tile)).otherwise(F.ceil(F.col("n") / tile)).cast("long")
+    sizes = durable(sizes.select(F.col("set").alias("_set"), F.col("label").alias("_label"), "own", parts.alias("parts")))
+    number = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("label"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("line"), F.col("parts")))
+    rows = rows.join(sizes, (F.col("set") == F.col("_set")) & (F.col("label") == F.col("_label"))).select("set", "line", "own", number.alias("number"))
+    tiles = sizes.select("_set", "own", "parts").distinct().select(F.col("_set").alias("set"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("number"))
+    other = tiles.select(F.col("set").alias("_set"), F.col("own").alias("_own"), F.col("number").alias("_number"))
+    meet = tiles.join(other, F.col("set") == F.col("_set")).filter("own is null or _own is null or own <> _own")
+    ends = [F.struct(F.col(own).isNull().alias("a"), F.coalesce(own, F.lit(0)).alias("b"), F.col(number).alias("c")) for own, number in (("own", "number"), ("_own", "_number"))]
+    meet = meet.select("_set", F.col("own").alias("_own"), F.col("number").alias("_number"), F.xxhash64(F.least(*ends), F.greatest(*ends)).alias("pair"))
+    same = (F.col("set") == F.col("_set")) & F.col("own").eqNullSafe(F.col("_own")) & (F.col("number") == F.col("_number"))
+    return rows.join(meet, same).select("set", "pair", "line")
+
+
+def found_sets(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """(set, line, tile, hot, centre): lines of the bands that several different lines share."""
+    rows = _bands(docs).repartition("band").sortWithinPartitions("band", "line").mapInArrow(_sets(tile), "set long, line long, tile long, hot boolean, centre boolean")
+    return durable(rows)
+
+
+def links(found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between different lines, by name, that connect all verified pairs of the sets ``found``.
+
+    ``texts``: (name, text) of every line of the sets.
+    """
+
+    def verified(met: DataFrame) -> DataFrame:
+        met = met.repartition("line").dropDuplicates(["line", "set", "pair"])
+        groups = met.join(texts, F.col("line") == F.col("name")).select("set", "pair", "line", "text")
+        return groups.repartition("set", "pair").sortWithinPartitions("set", "pair").mapInArrow(_verify(similarity), "a long, b long")
+
+    first = verified(_meetings(found, tile))
     hot = found.filter("hot")
-    last = hot.groupBy("set").agg(F.max("tile").alias("last")).withColumnRenamed("set", "_set")
-    n_hot = last.limit(BROADCAST_KEYS + 1).count()
-    if n_hot:
-        last = F.broadcast(last) if n_hot <= BROADCAST_KEYS else last
-        hot = hot.join(last, F.col("set") == F.col("_set")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-        cold = cold.unionByName(hot.select("set", F.xxhash64(F.least("tile", "other"), F.greatest("tile", "other")).alias("pair"), "line"))
-    met = cold.repartition("line").dropDuplicates(["line", "set", "pair"])
-    wanted = _placed(first.join(met.select(F.col("line").alias("name")).distinct(), "name", "left_semi")).select(F.col("name").alias("_name"), "at_doc", "at_pos")
-    at = (F.col("name") == F.col("_name")) & (F.col("doc") == F.col("at_doc")) & (F.col("pos") == F.col("at_pos"))
-    texts = _lines(docs).join(wanted, at).select("name", F.col("line").cast("binary").alias("text")).dropDuplicates(["name"])
-    groups = met.join(texts, F.col("line") == F.col("name")).select("set", "pair", "line", "text")
-    return groups.repartition("set", "pair").sortWithinPartitions("set", "pair").mapInArrow(_verify(similarity), "a long, b long")
+    if not hot.limit(1).count():
+        return first
+    part = components(first)
+    labels = part.unionByName(part.select(F.col("root").alias("node"), "root").distinct())
+    return part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(_across(hot, labels, tile)))
 
 
 def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """(doc_id, text_hash, lost): sorted positions of the lines of each text that do not stay.
+    """(doc_id, text_hash, lost): sorted positions of the lines of each different (doc_id, text) that do not stay.
 
     Of equal lines, and of lines linked over Jaccard similarity ``similarity`` or more, the first by
-    (doc_id, position) stays; rows without a doc_id come last.  Blank lines stay.  Rows that share doc_id
-    and text are one document, so they keep the same lines.
+    (doc_id, text, position) stays, texts in the order of their hashes; rows without a doc_id come last.
+    Blank lines stay.  Copies of a row are one here.  Two different lines of one 64-bit name, should there
+    be any, are told apart by a second hash and both stay.
     """
-    first = first_places(docs)
-    roots = components(links(docs, first, similarity, tile))
-    member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    first = first.join(member, F.col("name") == F.col("node"), "left").filter("n > 1 or root is not null").select("name", F.coalesce("root", "name").alias("root"), "place")
+    lines = durable(_lines(docs).select("name", F.hash("line").alias("check"), "doc_id", "text_hash", "pos"))
+    found = found_sets(docs, tile)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "pos")
+    named = lines.groupBy("name").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")).filter("low = high")
+    met = found.select(F.col("line").alias("met")).distinct()
+    named = durable(named.join(met, F.col("name") == F.col("met"), "left").filter("n > 1 or met is not null").select("name", "place", "n", F.col("met").isNotNull().alias("met")))
+    wanted = named.filter("met").select(F.col("name").alias("_name"), "place")
+    texts = _lines(docs).join(wanted, _where("place", "_name")).select("name", F.col("line").cast("binary").alias("text")).dropDuplicates(["name"])
+    if found.filter("hot").limit(1).count():
+        texts = durable(texts)  # read twice
+    roots_ = components(links(found, texts, similarity, tile))
+    member = roots_.unionByName(roots_.select(F.col("root").alias("node"), "root").distinct())
+    first = named.join(member, F.col("name") == F.col("node"), "left").filter("n > 1 or root is not null").select("name", F.coalesce("root", "name").alias("root"), "place")
     first = durable(first)
     stays = first.groupBy("root").agg(F.min("place").alias("place")).withColumnRenamed("root", "_root")
-    stays = _placed(first.select("name", "root").join(stays, F.col("root") == F.col("_root"))).select(F.col("name").alias("_name"), "at_doc", "at_pos")
-    lines = _lines(docs).select("doc_id", "text_hash", "doc", "pos", "name")
-    lost = lines.join(stays, F.col("name") == F.col("_name")).filter("doc <> at_doc or pos <> at_pos")
+    stays = first.select("name", "root").join(stays, F.col("root") == F.col("_root")).select(F.col("name").alias("_name"), "place")
+    lost = lines.join(stays, F.col("name") == F.col("_name")).filter(~_where("place", "name"))
     return lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
 
 
+def _repeated(docs: DataFrame) -> DataFrame | None:
+    """(_doc, _text) of the rows with lines that occur more than once, if there are any."""
+    rows = docs.filter(_has_lines()).select(F.col("doc_id").alias("_doc"), _hash().alias("_text"))
+    rows = durable(rows.groupBy("_doc", "_text").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    return rows if rows.limit(1).count() else None
+
+
+def _key(doc: str, text: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("_hash") == F.col(text))
+
+
 def report(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(doc_id, n_lines, n_lost, lost) for every row of ``docs``: lines that are not blank, and the positions that go.
 
-    Null and empty texts have no lines.
+    Null and empty texts have no lines; an empty table gives an empty one.  doc_id may have any type with an
+    order, may be null, and may name different texts.  Of repeated rows (equal doc_id and text) one keeps its
+    lines and the others lose all of theirs.  Texts and lines of any length are taken whole.  Only doc_id and
+    text are read, so other columns cannot clash.
     """
-    lost = lost_lines(docs, similarity, tile)
-    text = F.col("text").cast("string")
-    n = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)), F.lit(0)).cast("long")
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_hash"), F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_lines"))
-    lost = lost.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "lost")
-    out = counted.join(lost, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_lost"), F.coalesce("lost", F.array().cast("array<int>")).alias("lost"))
+    lost = lost_lines(docs, similarity, tile).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "lost")
+    filled = F.filter(F.transform(F.split(_text(), "\n"), lambda x, i: F.when(F.length(F.trim(x)) > 0, i)), lambda i: i.isNotNull())
+    rows = docs.select("doc_id", _hash().alias("_hash"), F.coalesce(filled, F.array().cast("array<int>")).alias("_filled"))
+    n, none = F.size("_filled").cast("long").alias("n_lines"), F.array().cast("array<int>")
+    out = lambda df: df.select("doc_id", n, F.size("lost").cast("long").alias("n_lost"), "lost")
+    single, repeated = rows, _repeated(docs)
+    if repeated is not None:
+        single = rows.join(repeated, _key("_doc", "_text"), "left_anti")
+    single = out(single.join(lost, _key("_doc", "_text"), "left").withColumn("lost", F.coalesce("lost", none)))
+    if repeated is None:
+        return single
+    copies = durable(rows.join(repeated, _key("_doc", "_text"), "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    first = copies.groupBy("doc_id", "_hash").agg(F.min("_row").alias("_first")).join(lost, _key("_doc", "_text"), "left").select("_first", F.coalesce("lost", none).alias("lost"))
+    copies = copies.join(first, F.col("_row") == F.col("_first"), "left").withColumn("lost", F.coalesce("lost", "_filled"))
+    return single.unionByName(out(copies))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """``docs`` with the lost lines taken out of text; n_chars, where it exists, follows the text.
 
-    A document that loses lines and has no other line than blank ones goes.
+    A document that loses lines and has no other line than blank ones goes.  So of repeated rows with lines
+    one stays, that whose other columns have the smallest hash.
     """
     columns = docs.columns
-    doc, text_hash, gone, new = fresh(docs, "_lost_doc", "_lost_hash", "_lost_pos", "_new_text")
+    doc, text_hash, gone, new, own = fresh(docs, "_lost_doc", "_lost_hash", "_lost_pos", "_new_text", "_own_hash")
     lost = lost_lines(docs, similarity, tile).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("lost").alias(gone))
-    text = F.col("text").cast("string")
-    out = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(text_hash)), "left")
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i))
+    repeated, rows = _repeated(docs), docs
+    if repeated is not None:
+        same = docs["doc_id"].eqNullSafe(repeated["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == repeated["_text"])
+        rows = docs.join(repeated, same, "left_anti").unionByName(one_row(docs.join(repeated, same, "left_semi"), "doc_id", "text"))
+    rows = rows.withColumn(own, _hash())
+    out = rows.join(lost, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text_hash)), "left")
+    kept = F.filter(F.split(_text(), "\n"), lambda x, i: ~F.array_contains(gone, i))
     same = F.col(gone).isNull()
-    out = out.withColumn(new, F.when(same, text).otherwise(F.array_join(kept, "\n")))
+    out = out.withColumn(new, F.when(same, _text()).otherwise(F.array_join(kept, "\n")))
     out = out.filter(same | (F.length(F.trim(F.replace(F.col(new), F.lit("\n"), F.lit("")))) > 0)).withColumn("text", F.col(new))
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
