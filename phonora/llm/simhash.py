@@ -3,31 +3,36 @@
 Fingerprints are compared exactly in numpy: tiles of fingerprints are combined by exclusive-or and
 bit counts, and pairs of tiles whose population counts differ by more than the radius are skipped.
 Comparing all tiles with all tiles grows with the square of the corpus; so the 64 bits are first cut
-into radius + 1 blocks.  Two fingerprints within the radius agree in at least one block (pigeonhole),
-hence comparing the tiles of each block value loses no pair.  A block value shared by more
-fingerprints than a task should hold is split into pairs of tiles (``phonora.llm.tiles``).
+into radius + k blocks.  Two fingerprints within the radius agree in at least k of them (pigeonhole),
+hence comparing the tiles of each value of each k blocks loses no pair.  k follows from the number of
+fingerprints, so that few unlike ones share a value; it changes the work, never the links.  A value
+shared by more fingerprints than a task should hold is split into pairs of tiles (``phonora.llm.tiles``).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phonora.llm.common import durable, fresh, map_arrow, text_buffers
+from phonora.llm.common import durable, fresh, map_arrow, one_row, text_buffers
 from phonora.llm.components import components, forest, local_roots
-from phonora.llm.tiles import by_group, deal
+from phonora.llm.tiles import BROADCAST_KEYS, by_group, deal
 
 SEED = 42
 #: Rows of a tile inside a task, and fingerprints of one block value that one task may get.
 TILE, GROUP = 1024, 32_768
 #: Groups up to this size are compared by shifting, many groups at a time.
 SMALL = 32
+#: Unlike fingerprints that may share a block value on average before more blocks are taken.
+SHARED = 64
+#: Rows from which the component of a fingerprint is broadcast instead of shuffled to.
+HOT = 10_000
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -62,8 +67,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         fp = np.array([fingerprint(t, words) for t in text_buffers(batch.column(1))], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(docs.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return map_arrow(docs.withColumn("text_hash", F.xxhash64("text")), run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -128,53 +134,67 @@ def _compare(radius: int):
     return by_group(2, run)
 
 
-def links(fps: DataFrame, radius: int = 2, group: int = GROUP) -> DataFrame:
+def agreeing(n: int, radius: int) -> int:
+    """How many of radius + k blocks must agree: the least k such that ``n`` random fingerprints rarely share a value."""
+    return next((k for k in range(1, 5) if n / 2 ** (64 * k // (radius + k)) <= SHARED), 4)
+
+
+def links(fps: DataFrame, radius: int = 2, group: int = GROUP, agree: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all pairs within ``radius`` differing bits."""
-    bounds = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) * (radius + 1) + i for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    k = agree or agreeing(fps.count(), radius)
+    n = radius + k
+    bounds = [64 * i // n for i in range(n + 1)]
+    cut = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in itertools.pairwise(bounds)]
+    blocks = [F.xxhash64(F.lit(i), *(cut[j] for j in some)) for i, some in enumerate(itertools.combinations(range(n), k))]
     rows = fps.select(F.explode(F.array(*blocks)).alias("block"), "fp", F.bit_count("fp").cast("int").alias("bits"))
     dealt = deal(rows, "block", "fp", "bits", radius, group).select("block", "pair", "fp", "tile")
     dealt = dealt.repartition("block", "pair").sortWithinPartitions("block", "pair", "tile")
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, group: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, group: int = GROUP, agree: int | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for every row of ``docs``.
 
     component_id is the smallest doc_id whose fingerprint can be reached over links of ``radius`` or
     fewer differing bits.  Null, empty and blank texts have fingerprint zero and link like any other.
     Rows with a null doc_id take part; component_id is null only if no reachable row has a doc_id.
-    Repeated rows share a component.  Only doc_id and text are read, so other columns cannot clash.
+    doc_id may have any type with an order.  Repeated rows share a component, texts of any length are
+    read whole, and an empty table gives an empty one.  Only doc_id and text are read, so other columns
+    cannot clash.
     """
     own = durable(fingerprints(docs, words))
     fps = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = components(links(fps.select("fp"), radius, group))
+    roots = components(links(fps.select("fp"), radius, group, agree))
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    member = fps.join(member, F.col("fp") == F.col("node")).select("fp", "root", "least")
+    member = fps.join(member, F.col("fp") == F.col("node")).select("fp", "root", "least", "n")
     least = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
-    linked = member.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
-    copies = fps.filter("n > 1").join(linked, F.col("fp") == F.col("_fp"), "left_anti").select(F.col("fp").alias("_fp"), F.col("least").alias("component_id"))
+    linked = member.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id", "n")
+    copies = fps.filter("n > 1").join(linked, F.col("fp") == F.col("_fp"), "left_anti").select(F.col("fp").alias("_fp"), F.col("least").alias("component_id"), "n")
     known = durable(linked.unionByName(copies))
-    out = own.join(known, F.col("fp") == F.col("_fp"), "left")
-    return out.select("doc_id", "text_hash", "fp", F.when(F.col("_fp").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    same = F.col("fp") == F.col("_fp")
+    joined = own.join(known, same, "left")
+    hot = known.filter(F.col("n") > HOT)  # such as zero, that of all empty texts
+    if 0 < hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+        joined = own.join(hot, same, "left_anti").join(known, same, "left").unionByName(own.join(hot, same))
+    return joined.select("doc_id", "text_hash", "fp", F.when(F.col("_fp").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, columns as they are.
 
     Of each component the document named by component_id stays, and of repeated rows (equal doc_id
-    and text) one.  Rows without a doc_id stay unless they are near a row that has one.
+    and text) the one whose other columns have the smallest hash.  Rows without a doc_id stay unless they
+    are near a row that has one.
     """
-    doc, text, lost, row = fresh(docs, "_doc", "_text", "_lost", "_row")
+    doc, text, lost = fresh(docs, "_doc", "_text", "_lost")
     found = near_duplicates(docs, words, radius)
     found = found.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("_component"), F.count("*").alias("_n"))
     change = found.filter("_n > 1 or not (doc_id <=> _component)")
     change = durable(change.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), (~F.col("doc_id").eqNullSafe(F.col("_component"))).alias(lost)))
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text))
+    key = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text))
     kept = docs.join(change, key, "left_anti")
     repeated = change.filter(~F.col(lost))
     if repeated.limit(1).count():
-        w = W.partitionBy(doc, text).orderBy(F.lit(1))
-        first = docs.join(repeated, key).withColumn(row, F.row_number().over(w)).filter(F.col(row) == 1)
-        kept = kept.unionByName(first.select(*docs.columns))
+        kept = kept.unionByName(one_row(docs.join(repeated, key, "left_semi"), "doc_id", "text"))
     return kept
