@@ -1,27 +1,31 @@
 """Benchmark decontamination: test n-grams found in training texts.
 
-The normalised word windows of the benchmark are hashed into a sorted array that is broadcast in
-blocks of bounded size.  A scan hashes every window of every document with vectorised prefix
-hashes, looks it up, and verifies each hit byte by byte; nothing is shuffled while the benchmark
-fits one block.
+The normalised word windows of the benchmark are hashed into a sorted array that is broadcast.  A scan
+hashes every window of every document with vectorised prefix hashes, looks it up, and verifies each hit
+byte by byte; nothing is shuffled.  A benchmark too large for that is broadcast as a filter of bounded
+size instead; the few windows that pass it meet the benchmark's windows in a join that compares their
+bytes.  Either way documents are scanned once.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonora.llm.common import fresh, map_arrow, text_buffers
+from phonora.llm.common import durable, fresh, map_arrow, text_buffers
 
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast block; its index takes about five times that.
+#: Bytes of benchmark text that are broadcast with an index, which takes about five times that.
 BLOCK_BYTES = 8 << 20
+#: Of a larger benchmark: bits of the filter for each window, its size at most (as a power of two), and the
+#: bits that a window must find set.
+FILTER_SHARE, FILTER_BITS, PROBES = 16, 31, 4
 #: Bytes of document text that one vectorised pass holds, unless one text is longer.
 PASS_BYTES = 1 << 20
 
@@ -166,117 +170,215 @@ def covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """``benchmark`` as (name, text) in as many hash blocks as its checked size asks for."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """``benchmark`` as (name, text), and its bytes of text."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes) or 1
-    return [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k) for k in range(n)]
+    return items, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def _index(block: DataFrame, window: int):
-    rows = [(r["name"], r["text"].encode()) for r in block.toLocalIterator()]
-    return block.sparkSession.sparkContext.broadcast(Index(rows, window))
+def _index(items: DataFrame, window: int):
+    rows = [(r["name"], r["text"].encode()) for r in items.toLocalIterator()]
+    return items.sparkSession.sparkContext.broadcast(Index(rows, window))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def _scanned(index: Index, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, set[str]]]:
+    for low, high in passes(texts):
+        yield from index.scan(texts[low:high])
 
-    A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
-    window.  A document word inside any occurrence of a window is hit.  Contaminated: a word is hit and
-    at least a twentieth of the words are.  Null and empty texts have no words; an empty benchmark hits
-    nothing; repeated items count once by item_id, and a null item_id reads as ''.  A benchmark above
-    ``block_bytes`` is scanned block by block, and the hits of each document row are merged.
+
+def _item_windows(texts: list[bytes], window: int) -> Iterator[tuple[int, int, np.ndarray, Words, np.ndarray]]:
+    """(number of the first text, words, hashes, words of some texts, first words) of the windows of benchmark texts."""
+    for low, high in passes(texts):
+        words = Words(texts[low:high])
+        count = np.diff(words.first)
+        for n in sorted({min(window, int(c)) for c in count if c}):
+            at, h = words.windows(n)
+            of = words.of[at]
+            right = count[of] >= window if n == window else count[of] == n
+            yield low, n, _with_length(h[right], n), words, at[right]
+
+
+def _with_length(h: np.ndarray, n: int) -> np.ndarray:
+    return h ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
+def _probe(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The k-th place of each hash in a filter of 2 ** ``bits`` bits."""
+    x = (h ^ (h >> np.uint64(29))) * np.uint64((0xBF58476D1CE4E5B9 + 2 * k * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    return x >> np.uint64(64 - bits)
+
+
+def _passes_filter(h: np.ndarray, bits: int, mask: np.ndarray) -> np.ndarray:
+    """Which hashes find all their bits set."""
+    at = np.arange(len(h))
+    for k in range(PROBES):
+        place = _probe(h[at], bits, k)
+        at = at[(mask[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def _filter(items: DataFrame, window: int) -> tuple[np.ndarray, set[int], int]:
+    """(filter of the hashes of all windows, their lengths in words, power of two of its bits).
+
+    Hashes pass through the driver in parts, only the filter stays.
     """
-    blocks = _blocks(benchmark, block_bytes)
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id " + docs.schema["doc_id"].dataType.simpleString()
 
-    def result(ids, n_words, n_hit, items) -> list[pa.Array]:
-        digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-        flags = [h > 0 and 20 * h >= n for n, h in zip(n_words, n_hit, strict=True)]
-        return [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array(flags, pa.bool_())]
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(n, h.tobytes()) for _, n, h, _, _ in _item_windows(text_buffers(batch.column(0)), window)]
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int32()), pa.array([h for _, h in found], pa.binary())], ["n", "h"])
 
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    full = schema + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    if len(blocks) == 1:
-        index = _index(blocks[0], window)
+    hashed = durable(map_arrow(items.select("text"), run, "n int, h binary"))
+    total = hashed.agg(F.sum(F.octet_length("h"))).first()[0] or 0
+    bits = max(10, min(FILTER_BITS, (FILTER_SHARE * total // 8).bit_length()))
+    mask, lengths = np.zeros(1 << (bits - 3), np.uint8), set()
+    for row in hashed.toLocalIterator():
+        lengths.add(row["n"])
+        for k in range(PROBES):
+            place = _probe(np.frombuffer(row["h"], np.uint64), bits, k)
+            np.bitwise_or.at(mask, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+    return mask, lengths, bits
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = text_buffers(batch.column(1))
-            found = [x for low, high in passes(texts) for x in index.value.scan(texts[low:high])]
-            n_hit = [int(covered(a, b, n).sum()) if len(a) else 0 for n, a, b, _ in found]
-            return pa.RecordBatch.from_arrays(result(batch.column(0), [x[0] for x in found], n_hit, [x[3] for x in found]), names)
 
-        return map_arrow(docs, run, full)
+def _hits(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, row, n_words) of every row, (_doc, _row, places, items) of the different rows with hits).
 
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    ``row`` is a hash of the text; places are [first word, words] of the occurring windows.
+    """
+    mask, lengths, bits = _filter(items, window)
+    shared = docs.sparkSession.sparkContext.broadcast((mask, lengths, bits))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mask, lengths, bits = shared.value
+        texts, n_words, found = text_buffers(batch.column(1)), [], []
+        for low, high in passes(texts):
+            words = Words(texts[low:high])
+            first = words.first
+            n_words += np.diff(first).tolist()
+            own: list[list[dict]] = [[] for _ in range(high - low)]
+            for n in lengths:
+                at, h = words.windows(n)
+                h = _with_length(h, n)
+                for i in _passes_filter(h, bits, mask).tolist():
+                    k = int(words.of[at[i]])
+                    own[k].append({"at": int(at[i] - first[k]), "n": n, "h": int(h[i].astype(np.int64)), "w": words.window(int(at[i]), n)})
+            found += own
+        inner = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("w", pa.binary())])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(found, pa.list_(inner))], ["doc_id", "row", "n_words", "found"])
 
-    def scan(index):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = text_buffers(batch.column(1))
-            found = [x for low, high in passes(texts) for x in index.value.scan(texts[low:high])]
-            ranges = pa.array([np.column_stack([a, b]).ravel() for _, a, b, _ in found], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in found], pa.int64()), ranges, pa.array([sorted(x[3]) for x in found], pa.list_(pa.string()))], ["doc_id", "row", "n_words", "ranges", "items"])
+    def itemise(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, rows = batch.column(0).to_pylist(), []
+        for low, n, h, words, at in _item_windows(text_buffers(batch.column(1)), window):
+            rows += [(n, x, words.window(i, n), names[low + k]) for x, i, k in zip(h.view(np.int64).tolist(), at.tolist(), words.of[at].tolist(), strict=True)]
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["_n", "_h", "_w", "name"])
+
+    scanned = durable(map_arrow(docs.withColumn("row", F.xxhash64("text")), scan, f"doc_id {kind}, row long, n_words long, found array<struct<at: int, n: int, h: bigint, w: binary>>"))
+    known = map_arrow(items, itemise, "_n int, _h long, _w binary, name string").groupBy("_n", "_h", "_w").agg(F.collect_set("name").alias("names"))
+    maybe = scanned.filter(F.size("found") > 0).select("doc_id", "row", F.explode("found").alias("f")).select("doc_id", "row", "f.*").dropDuplicates(["doc_id", "row", "at", "n"])
+    hits = maybe.join(known, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")) & (F.col("w") == F.col("_w")))
+    hits = hits.groupBy("doc_id", "row").agg(F.flatten(F.collect_set(F.array("at", "n"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("items"))
+    return scanned.drop("found"), hits.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "places", "items")
+
+
+def _ranges(places: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word (exclusive) of the windows at ``places``."""
+    x = np.array(places or [], np.int64).reshape(-1, 2)
+    return x[:, 0], x.sum(axis=1)
+
+
+def _same_row(doc_id: Column, row: Column) -> Column:
+    return doc_id.eqNullSafe(F.col("_doc")) & (row == F.col("_row"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-        return run
+    A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
+    window.  A document word inside any occurrence of a window is hit.  Contaminated: a word is hit and
+    at least a twentieth of the words are.  Null and empty texts have no words; an empty table gives an
+    empty one and an empty benchmark hits nothing; repeated rows get equal results; texts of any length are
+    read whole; repeated items count once by item_id, and a null item_id reads as ''.  Only doc_id and text,
+    item_id and text are read.  A benchmark above ``block_bytes`` goes through a filter and a join.
+    """
+    items, size = _items(benchmark)
+    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+    def result(ids: pa.Array, found) -> pa.RecordBatch:
+        n_words, n_hit, n_items, digests = [], [], [], []
+        for n, low, high, items in found:
+            n_words.append(n)
+            n_hit.append(int(covered(low, high, n).sum()) if len(low) else 0)
+            n_items.append(len(items))
+            digests.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+        flags = [h > 0 and 20 * h >= n for n, h in zip(n_words, n_hit, strict=True)]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n_words, n_hit, n_items)), pa.array(digests, pa.string()), pa.array(flags, pa.bool_())], names)
 
-    parts = [map_arrow(docs, scan(_index(b, window)), schema + ", row long, n_words long, ranges array<long>, items array<string>") for b in blocks]
-    hits = reduce(DataFrame.unionByName, parts)
-    # Repeated rows give equal parts in every block, so they are merged into one and multiplied again.
-    merged = hits.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.expr(f"cast(count(*) / {len(blocks)} as int)").alias("copies"), F.flatten(F.collect_set("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", "ranges", "items")
+    if size <= block_bytes:
+        index = _index(items, window)
+        return map_arrow(docs, lambda batch: result(batch.column(0), _scanned(index.value, text_buffers(batch.column(1)))), schema)
+    rows, hits = _hits(docs, items, window)
+    rows = rows.join(hits, _same_row(F.col("doc_id"), F.col("row")), "left").select("doc_id", "n_words", "places", "items")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_words = batch.column(1).to_pylist()
-        ranges = [np.array(x, np.int64).reshape(-1, 2) for x in batch.column(2).to_pylist()]
-        n_hit = [int(covered(r[:, 0], r[:, 1], n).sum()) if len(r) else 0 for n, r in zip(n_words, ranges, strict=True)]
-        return pa.RecordBatch.from_arrays(result(batch.column(0), n_words, n_hit, [set(x) for x in batch.column(3).to_pylist()]), names)
+        _, n_words, places, items = (c.to_pylist() for c in batch.columns)
+        return result(batch.column(0), ((n, *_ranges(p), set(x or ())) for n, p, x in zip(n_words, places, items, strict=True)))
 
-    return map_arrow(merged, finish, full)
+    return map_arrow(rows, finish, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, columns as they are."""
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        index, at = _index(blocks[0], window), docs.columns.index("text")
+    """The rows of ``docs`` that are not contaminated, columns as they are; null and empty texts stay."""
+    items, size = _items(benchmark)
+    if size <= block_bytes:
+        index, at = _index(items, window), docs.columns.index("text")
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = text_buffers(batch.column(at))
-            found = [x for low, high in passes(texts) for x in index.value.scan(texts[low:high])]
-            n_hit = [int(covered(a, b, n).sum()) if len(a) else 0 for n, a, b, _ in found]
-            return batch.filter(pa.array([h == 0 or 20 * h < x[0] for h, x in zip(n_hit, found, strict=True)], pa.bool_()))
+            hit = [(n, int(covered(a, b, n).sum()) if len(a) else 0) for n, a, b, _ in _scanned(index.value, text_buffers(batch.column(at)))]
+            return batch.filter(pa.array([h == 0 or 20 * h < n for n, h in hit], pa.bool_()))
 
         return map_arrow(docs, run, docs.schema)
-    (bad,) = fresh(docs, "_bad")
-    found = contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, window, block_bytes)
-    found = found.filter("contaminated").select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(found, F.xxhash64("doc_id", "text") == F.col(bad), "left_anti")
+    own, bad_doc, bad_row = fresh(docs, "_own", "_bad_doc", "_bad_row")
+    text = F.col("text").cast("string")
+    # A document is named by doc_id and hash of the text together, in one struct that passes through as its id.
+    named = docs.select(F.struct(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("row")).alias("doc_id"), text.alias("text"))
+    bad = contamination(named, benchmark, window, block_bytes).filter("contaminated").select(F.col("doc_id.doc").alias(bad_doc), F.col("doc_id.row").alias(bad_row)).distinct()
+    docs = docs.withColumn(own, F.xxhash64(text))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_doc)) & (F.col(own) == F.col(bad_row)), "left_anti").drop(own)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the words of occurring benchmark windows cut out of the text, the rest untouched.
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with the words of occurring benchmark windows cut out of the text, the rest untouched, columns as they are.
 
-    The benchmark must fit one block (``BLOCK_BYTES``); larger ones raise an error.
+    Null and empty texts stay as they are, and repeated rows are cut alike, whatever the size of the benchmark.
     """
-    blocks = _blocks(benchmark, BLOCK_BYTES)
-    if len(blocks) > 1:
-        raise ValueError("the benchmark is larger than one broadcast block")
-    index, at = _index(blocks[0], window), docs.columns.index("text")
-
-    def cut(text: bytes | None) -> bytes | None:
-        if not text:
-            return text
-        _, low, high, _ = index.value.scan([text])[0]
-        words = index.value.words
-        keep = np.ones(len(text), bool)
+    items, size = _items(benchmark)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    at = docs.columns.index("text")
+
+    def cut(text: bytes, low: np.ndarray, high: np.ndarray) -> bytes:
+        words, keep = Words([text]), np.ones(len(text), bool)
         for a, b in zip(low.tolist(), high.tolist(), strict=True):
             keep[words.raw_start[a] : words.raw_end[b - 1]] = False
-        return np.frombuffer(text, np.uint8)[keep].tobytes() if len(low) else text
+        return np.frombuffer(text, np.uint8)[keep].tobytes()
+
+    def rewritten(batch: pa.RecordBatch, ranges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        texts = batch.column(at).cast(pa.binary()).to_pylist()
+        new = [cut(t, *r) if t and len(r[0]) else t for t, r in zip(texts, ranges, strict=True)]
+        return batch.set_column(at, batch.schema.field(at), pa.array(new, pa.binary()).cast(pa.string()))
+
+    if size <= block_bytes:
+        index = _index(items, window)
+        return map_arrow(docs, lambda batch: rewritten(batch, [(a, b) for _, a, b, _ in _scanned(index.value, text_buffers(batch.column(at)))]), docs.schema)
+    own, doc, row, places = fresh(docs, "_own", "_cut_doc", "_cut_row", "_cut_places")
+    _, hits = _hits(docs.select("doc_id", "text"), items, window)
+    hits = hits.select(F.col("_doc").alias(doc), F.col("_row").alias(row), F.col("places").alias(places))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(hits, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(row)), "left").select(*docs.columns, places)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pa.array([cut(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
-        return batch.set_column(at, batch.schema.field(at), texts)
+        out = rewritten(batch, [_ranges(p) for p in batch.column(len(batch.columns) - 1).to_pylist()])
+        return pa.RecordBatch.from_arrays(out.columns[:-1], out.schema.names[:-1])
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(joined, run, docs.schema)
