@@ -5,13 +5,15 @@ file of merge ranks the log score follows Zipf's law, -log(rank + 1) less the no
 one of which is put before the text; characters outside the vocabulary fall back to their bytes.
 
 No piece has a marker after another character, and none has a line break, so the best path of a text
-is made of the best paths of its words.  Each worker keeps the paths of recent words and decodes the
-rest many words at a time in numpy.
+is made of the best paths of its words.  Each worker keeps the paths of recent short words and decodes
+the rest many words at a time in numpy, in passes bounded by their characters.  A very long word is
+decoded position by position with one score, one back pointer and one piece id kept for each.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
 from functools import cache
 
@@ -25,8 +27,9 @@ from phonora.llm.common import map_arrow
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose paths a worker keeps, and words decoded in one numpy pass.
-CACHE, PASS = 300_000, 20_000
+#: Words whose paths a worker keeps, and the longest of them; characters decoded in one numpy pass, and of
+#: a word from which on it is decoded position by position.
+CACHE, SHORT, PASS, LONG = 300_000, 64, 1 << 17, 1 << 15
 _WORDS = re.compile(" *[^ \n]+| +|\n")
 _UNKNOWN_PENALTY = np.float32(10.0)
 
@@ -103,46 +106,79 @@ class Pieces:
         self.is_byte = np.array([k == "byte" for k in kinds])
         self.paths: dict[str, bytes] = {}
 
+    def _edges(self, text: np.ndarray, starts: np.ndarray, stop: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces at the characters that begin at ``starts``, up to ``stop``.
+
+        A character that is no piece gets the unknown one; ``char`` is its length in bytes.
+        """
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        single = np.zeros(len(starts), bool)
+        state, nth, at = np.zeros(len(starts), np.int64), np.arange(len(starts)), starts.copy()
+        while len(at):
+            step = self.trie.base[state] + text[at].astype(np.int64)
+            good = self.trie.check[step] == state
+            good &= (step != 0) | (state != 0)
+            step, nth, at = step[good], nth[good], at[good] + 1
+            piece = self.trie.value[step]
+            hit = piece >= 0
+            found.append((starts[nth[hit]], at[hit], piece[hit]))
+            single[nth[hit & (at - starts[nth] == char[nth])]] = True
+            more = at < stop[nth]
+            state, nth, at = step[more], nth[more], at[more]
+        lone = np.flatnonzero(~single)
+        found.append((starts[lone], starts[lone] + char[lone], np.full(len(lone), self.unknown, np.int32)))
+        a, b, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        return a, b, piece
+
+    def _scores(self, piece: np.ndarray) -> np.ndarray:
+        return np.where(piece == self.unknown, self.unknown_score, self.scores[piece]).astype(np.float64)
+
+    def long_word(self, word: str, chunk: int = 1 << 14) -> bytes:
+        """The same as ``viterbi`` for one word of any length, with about 20 bytes for each of its own."""
+        text = np.frombuffer(word.replace(" ", MARK).encode(), np.uint8)
+        n = len(text)
+        starts = np.flatnonzero((text & 0xC0) != 0x80)
+        char = np.diff(np.append(starts, n))
+        best, back, by = array("d", [-np.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
+        best[0] = 0.0
+        for low in range(0, len(starts), chunk):
+            some = starts[low : low + chunk]
+            a, b, piece = self._edges(text, some, np.full(len(some), n), char[low : low + chunk])
+            order = np.lexsort((b, a))
+            a, b, piece = a[order], b[order], piece[order]
+            for s, t, i, x in zip(a.tolist(), b.tolist(), piece.tolist(), self._scores(piece).tolist(), strict=True):
+                x += best[s]
+                if x > best[t]:
+                    best[t], back[t], by[t] = x, s, i
+        path, at, unknown = array("i"), n, self.unknown
+        while at:
+            if by[at] == unknown:
+                path.extend(self.bytes[text[back[at] : at]][::-1].tolist())
+            else:
+                path.append(by[at])
+            at = back[at]
+        return np.frombuffer(path, np.int32)[::-1].tobytes()
+
     def viterbi(self, words: list[str]) -> list[bytes]:
         """The best path of each word (spaces stand for markers) as 32-bit ids."""
         raw = [w.replace(" ", MARK).encode() for w in words]
         text = np.frombuffer(b"".join(raw), np.uint8)
         size = np.array([len(r) for r in raw])
         begin = np.cumsum(size) - size
-        lead = (text & 0xC0) != 0x80
-        starts = np.flatnonzero(lead)
+        starts = np.flatnonzero((text & 0xC0) != 0x80)
         word = np.repeat(np.arange(len(raw)), size)
-        stop = (begin + size)[word[starts]]
         char = np.diff(np.append(starts, len(text)))
-        # all pieces that start at each character
-        edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        state, pos, at, end = np.zeros(len(starts), np.int64), starts.copy(), starts.copy(), stop
-        while len(at):
-            step = self.trie.base[state] + text[at].astype(np.int64)
-            good = self.trie.check[step] == state
-            good &= (step != 0) | (state != 0)
-            step, pos, at, end = step[good], pos[good], at[good] + 1, end[good]
-            piece = self.trie.value[step]
-            hit = piece >= 0
-            edges.append((pos[hit], at[hit], piece[hit]))
-            more = at < end
-            state, pos, at, end = step[more], pos[more], at[more], end[more]
-        a, b, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
-        single = np.zeros(len(text) + 1, bool)
         nth = np.zeros(len(text) + 1, np.int64)
         nth[starts] = char
-        single[a[b - a == nth[a]]] = True
-        lone = starts[~single[starts]]
-        a, b = np.concatenate([a, lone]), np.concatenate([b, lone + nth[lone]])
-        piece = np.concatenate([piece, np.full(len(lone), self.unknown, np.int32)])
-        score = np.where(piece == self.unknown, self.unknown_score, self.scores[piece])
+        a, b, piece = self._edges(text, starts, (begin + size)[word[starts]], char)
+        score = self._scores(piece)
         # words lie one after another with a gap, so that the end of one is not the start of the next
         shift = word[a]
         order = np.lexsort((b, a, a - begin[shift]))
         a, b, piece, score, shift = a[order], b[order], piece[order], score[order], shift[order]
         step_of = a - begin[shift]
         a, b = a + shift, b + shift
-        best = np.full(len(text) + len(raw), -np.inf, np.float32)
+        best = np.full(len(text) + len(raw), -np.inf)
         back, by = np.zeros(len(best), np.int64), np.zeros(len(best), np.int32)
         best[begin + np.arange(len(raw))] = 0
         cuts = np.searchsorted(step_of, np.arange(int(step_of[-1]) + 2)) if len(a) else []
@@ -185,18 +221,19 @@ class Pieces:
         split = [_WORDS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self.paths) > CACHE:
             self.paths.clear()
-        paths = self.paths
-        new: list[str] = []
-        for words in split:
-            for w in set(words):
-                if w not in paths:
-                    paths[w] = b""
-                    new.append(w)
-        new.sort(key=len)
-        for low in range(0, len(new), PASS):
-            some = new[low : low + PASS]
-            paths.update(zip(some, self.viterbi(some), strict=True))
-        return [np.frombuffer(b"".join(map(paths.__getitem__, words)), np.int32) for words in split]
+        known, fresh = self.paths, {}  # of long words, only those of these texts
+        new = sorted(set().union(*split) - known.keys(), key=len)
+        low = held = 0
+        for k, w in enumerate(new):
+            held += len(w)
+            if len(w) >= LONG:
+                fresh[w], low, held = self.long_word(w), k + 1, 0
+            elif held >= PASS or k + 1 == len(new) or len(new[k + 1]) >= LONG:
+                for x, path in zip(new[low : k + 1], self.viterbi(new[low : k + 1]), strict=True):
+                    (known if len(x) <= SHORT else fresh)[x] = path
+                low, held = k + 1, 0
+        path_of = lambda w: known[w] if len(w) <= SHORT else fresh[w]
+        return [np.frombuffer(b"".join(map(path_of if any(len(w) > SHORT for w in words) else known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ``ids``: markers become spaces, the one before the text goes."""
@@ -229,9 +266,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_byte_tokens, ids, round_trip) for every row of ``docs``.
 
-    ids are those of the best path of the whole text; round_trip says whether decoding them gives the
-    text back (it does unless the text has the marker character itself).  Null and empty texts have no
-    ids.  Repeated rows get equal results; only doc_id and text are read.
+    ids are those of the best path of the whole text, however long; round_trip says whether decoding them
+    gives the text back (it does unless the text has the marker character itself).  Null and empty texts
+    have no ids.  An empty table gives an empty one.  Repeated rows get equal results; only doc_id and text
+    are read, so names of other columns cannot clash.
     """
     path = path or vocabulary_path()
 
