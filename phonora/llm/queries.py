@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    """The key is the session's ``spark.phonora.pii.key``; without one, a random key that is forgotten afterwards."""
+    key = spark.conf.get("spark.phonora.pii.key", None) or token_hex(32)
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
