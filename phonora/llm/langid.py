@@ -2,7 +2,8 @@
 
 Features are TF-IDF weights of hashed character 1- to 3-grams.  Training follows the regularised
 leader (FTRL-proximal) with elastic-net penalties on a bounded, stratified sample of labelled rows;
-a temperature fitted on a part of that sample calibrates the probabilities.
+a temperature fitted on a part of that sample calibrates the probabilities.  Its targets are smoothed by
+the size of that part, as a part without an error does not prove that there are none.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from phonora.llm.common import map_arrow
 
 #: log2 of the number of hashed features.
 BITS = 15
-#: Training rows of each language at most, and the longest text among them; both bound the driver.
-ROWS_PER_LANGUAGE, TRAIN_CHARS = 1500, 100_000
+#: Training rows of each language and of all at most, and the longest text among them; all bound the driver.
+ROWS_PER_LANGUAGE, ROWS, TRAIN_CHARS = 1500, 12_000, 20_000
 #: Probability under which the pipeline rejects a document; texts of one or two words may well be below a half.
 REJECT_BELOW = 0.3
+#: The pipeline also rejects a text if surely less than this share of what is usual of its n-grams is known.
+REJECT_KNOWN = 0.8
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
@@ -64,6 +67,14 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    #: Share of the different n-grams that training has seen, of all but one in a hundred texts.
+    usual: float = 0.0
+
+    def known(self, hashed: np.ndarray) -> float:
+        """Share of the different n-grams of a text that training has seen, with three standard errors to the good."""
+        hashed = np.unique(hashed)
+        p = float((self.idf[hashed] < self.idf.max()).mean())
+        return p + 3 * np.sqrt((p * (1 - p) + 0.25 / len(hashed)) / len(hashed))
 
     def features(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.bincount(hashed, minlength=1 << BITS)
@@ -73,6 +84,9 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         hashed = ngrams(text) if text else None
+        return self.predict_from(hashed)
+
+    def predict_from(self, hashed: np.ndarray | None) -> tuple[str, float]:
         if hashed is None or not self.languages:
             return UNKNOWN, 0.0
         at, x = self.features(hashed)
@@ -81,17 +95,23 @@ class Model:
         k = int(p.argmax())
         return self.languages[k], float(p[k] / p.sum())
 
+    def accepts(self, text: str | None, reject_below: float) -> bool:
+        hashed = ngrams(text) if text else None
+        lang, p = self.predict_from(hashed)
+        return lang != UNKNOWN and p >= reject_below and self.known(hashed) >= REJECT_KNOWN * self.usual
+
 
 def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of up to about ``rows`` labelled training rows of each language, chosen by a hash of doc_id."""
+    """(text, lang) of up to about ``rows`` labelled training rows of each language and ``ROWS`` of all, chosen by a hash of doc_id."""
     labelled = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.filter((F.crc32("doc_id") % 3 != 1) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
+    rows = max(1, min(rows, ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 32, int((1 << 32) * rows / n)))])
     chosen = labelled.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share[F.col("lang")]) & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    found = chosen.limit(2 * rows * len(counts)).collect()
+    found = chosen.withColumn("_order", F.xxhash64("doc_id", "text", "lang")).orderBy("_order").limit(2 * rows * len(counts)).collect()
     return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
 
 
@@ -137,12 +157,16 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 0.5, beta
         scores = np.array([data[i][1] @ model.weights[data[i][0]] + model.bias for i in held])
         truth = np.array([data[i][2] for i in held])
 
+        target = np.full(scores.shape, 1 / (len(held) + 2) / max(k - 1, 1))
+        target[np.arange(len(held)), truth] = 1 - 1 / (len(held) + 2)
+
         def loss(t: float) -> float:
             s = scores / t
             s = s - s.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), truth]).mean())
+            return float((np.log(np.exp(s).sum(axis=1)) - (target * s).sum(axis=1)).mean())
 
-        model.temperature = float(min(np.exp(np.linspace(np.log(0.05), np.log(5), 93)), key=loss))
+        model.temperature = float(min(np.exp(np.linspace(np.log(0.002), np.log(10), 172)), key=loss))
+        model.usual = float(np.quantile([model.known(rows[i][0]) for i in held], 0.01))
     return model
 
 
@@ -154,7 +178,8 @@ def identify(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
 
     Learns from text and non-null lang of rows whose crc32(doc_id as text) modulo 3 is not 1, at most
-    about ``rows`` of each language.  lang_pred is a learned value, or 'und' with score 0 if the text is
+    about ``rows`` of each language and ``ROWS`` of all, none longer than ``TRAIN_CHARS``; texts of any
+    length are judged whole.  lang_pred is a learned value, or 'und' with score 0 if the text is
     null, empty or has no letter, or nothing could be learned.  Repeated rows get equal results; columns
     other than doc_id, text and lang are not read.  held_out is false for a null doc_id.
     """
@@ -173,14 +198,15 @@ def identify(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
 
 
 def accept(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a probability of at least ``reject_below``, columns as they are.
+    """The rows of ``docs`` whose language is one of those learned, columns as they are.
 
-    Rows without letters, and null texts, are rejected.
+    Rejected are null texts and texts without letters, those whose likeliest language has a probability
+    below ``reject_below``, and those that surely hold too few n-grams of any language learned; the shorter
+    a text, the less is sure.  An empty table gives an empty one; repeated rows are judged alike.
     """
     model, at = _broadcast(docs, rows), docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [model.value.predict(t) for t in batch.column(at).to_pylist()]
-        return batch.filter(pa.array([lang != UNKNOWN and p >= reject_below for lang, p in found], pa.bool_()))
+        return batch.filter(pa.array([model.value.accepts(t, reject_below) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

@@ -23,8 +23,9 @@ from phonora.llm.common import map_arrow
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Rows, and characters of each, from which frequent pre-tokens are learned; entries of the table;
-#: entries of a worker's cache.  They decide how fast a pre-token is found, never its length.
-SAMPLE_ROWS, SAMPLE_CHARS, TABLE, CACHE = 400, 20_000, 1 << 16, 1 << 18
+#: entries of a worker's cache, and the longest of them.  They decide how fast a pre-token is found, never
+#: its length.
+SAMPLE_ROWS, SAMPLE_CHARS, TABLE, CACHE, SHORT = 400, 20_000, 1 << 16, 1 << 18, 64
 
 #: The library's byte-level split (a fixed value).
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -64,7 +65,8 @@ class Lengths(dict):
         if len(self) >= self.room:
             self.clear()
             self.update(self.table)
-        self[token] = n
+        if len(token) <= SHORT:
+            self[token] = n
         return n
 
     def count(self, text: str) -> int:
@@ -86,7 +88,7 @@ def frequent(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, size: int = TA
     total = docs.count()
     share = min(1.0, 2 * rows / max(total, 1))
     pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 32)) < int(share * (1 << 32))
-    texts = docs.filter(pick & F.col("text").isNotNull()).select(F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).limit(rows)
+    texts = docs.filter(pick & F.col("text").isNotNull()).select(F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(rows)
     seen: Counter[str] = Counter()
     for row in texts.toLocalIterator():
         seen.update(_SPLIT.findall(row["text"]))
@@ -100,7 +102,8 @@ def counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> Data
 
     n_tokens is what the tokenizers library gives for the whole text without begin, end or added
     special tokens, special strings inside texts handled as by default.  Null texts read as empty: 0
-    bytes, 0 tokens.  Repeated rows are counted each; only doc_id and text are read.
+    bytes, 0 tokens.  Repeated rows are counted each, texts of any length whole; an empty table gives an
+    empty one.  Only doc_id and text are read, so other columns cannot clash.
     """
     spark: SparkSession = docs.sparkSession
     path = path or vocabulary_path()

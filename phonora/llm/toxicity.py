@@ -24,7 +24,7 @@ from phonora.llm.common import map_arrow
 
 GRADES = 4
 #: Labelled training texts of each class at most, and the longest among them; both bound the driver.
-ROWS_PER_CLASS, TRAIN_CHARS = 2500, 60_000
+ROWS_PER_CLASS, TRAIN_CHARS = 2500, 20_000
 #: Texts in which a feature must occur to be learned, and characters of word beginnings.
 LEAST, BEGINNINGS = 4, (4, 5, 6)
 #: A feature is learned only if its log odds ratio between toxic and other texts exceeds LIFT, and SURE
@@ -93,10 +93,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> li
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 32, int((1 << 32) * rows / n)))])
-    ids = known.filter(F.pmod(F.xxhash64("_doc"), F.lit(1 << 32)) < share[F.col("toxic")]).limit(2 * rows * len(counts))
+    ids = known.filter(F.pmod(F.xxhash64("_doc"), F.lit(1 << 32)) < share[F.col("toxic")]).orderBy(F.xxhash64("_doc")).limit(2 * rows * len(counts))
     text = F.col("text").cast("string")
     chosen = docs.select(F.col("doc_id").cast("string").alias("doc"), text.alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    found = chosen.join(F.broadcast(ids), F.col("doc") == F.col("_doc")).select("doc", "text", "toxic").limit(2 * rows * len(counts)).collect()
+    found = chosen.join(F.broadcast(ids), F.col("doc") == F.col("_doc")).select("doc", "text", "toxic").orderBy(F.xxhash64("doc", "text"), "toxic").limit(2 * rows * len(counts)).collect()
     return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc"], r["text"]))]
 
 
@@ -172,8 +172,10 @@ def grade(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Dat
     """(doc_id, severity, p_toxic, grade, toxic) for every row of ``docs``.
 
     severity is the expected grade, toxic whether p_toxic = P(grade > 0) is at least 0.5.  Null and empty
-    texts have severity 0; so has everything if there are no labels of both classes.  Repeated rows get
-    equal results; of ``docs`` only doc_id and text are read.
+    texts have severity 0; so has everything if there are no labels of both classes.  At most about ``rows``
+    labelled texts of each class, none longer than ``TRAIN_CHARS``, train the model; texts of any length are
+    graded whole.  Repeated rows get equal results, an empty table gives an empty one; of ``docs`` only doc_id
+    and text are read, so other columns cannot clash.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, rows)))
 
