@@ -61,32 +61,6 @@ def q03_preferred_dialect(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.largest_per_group(inventory.inventory_sizes(kept, ["lang", "source"]), "lang", "n", ["source"])
 
 
-@query("""
-with keys as (select distinct l_suppkey, l_partkey from lineitem),
-lacking as (select distinct l_partkey from keys where l_suppkey % 2 = 1 except select l_partkey from keys where l_suppkey % 2 = 0),
-borrowed as (select l_partkey, 0 as inventory from lacking)
-select l_partkey, inventory from borrowed union all select distinct l_partkey, 1 from keys where l_suppkey % 2 = 0""")
-def q04_borrowed_rows(spark: SparkSession, sf: str) -> DataFrame:
-    keys = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    own = keys.filter("l_suppkey % 2 = 0").select("l_partkey").distinct()
-    lacking = keys.filter("l_suppkey % 2 = 1").select("l_partkey").distinct().join(own, "l_partkey", "left_anti")
-    return lacking.withColumn("inventory", F.lit(0)).unionByName(own.withColumn("inventory", F.lit(1)))
-
-
-@query("""
-with s as (select s_nationkey as nation, min(s_suppkey) as first_key, list_sort(list(distinct s_suppkey % 7)) as own from supplier group by all),
-want as (select c_nationkey as nation, list_sort(list(distinct c_custkey % 7)) as expected from customer group by all)
-select nation, unnest(expected) as item, first_key, not list_contains(own, unnest(expected)) as filled from s join want using (nation)""")
-def q05_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 7).alias("item"), "s_suppkey")
-    want = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 7).alias("item")).distinct()
-    head = own.groupBy("nation").agg(F.min("s_suppkey").alias("first_key"))
-    have = own.select("nation", "item").distinct()
-    kept = want.join(have, ["nation", "item"], "left_semi").withColumn("filled", F.lit(False))
-    extra = want.join(have, ["nation", "item"], "left_anti").withColumn("filled", F.lit(True))
-    return kept.unionByName(extra).join(head, "nation").select("nation", "item", "first_key", "filled")
-
-
 @query("select o_orderkey, o_orderpriority from orders where o_orderpriority is not null and nullif(o_orderstatus, 'F') is distinct from 'P'")
 def q06_nonmarginal_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderpriority").alias("Allophones"), F.when(F.nullif("o_orderstatus", F.lit("F")) == "P", "TRUE").otherwise(F.when(F.col("o_orderstatus") == "F", None).otherwise("FALSE")).alias("Marginal"))
@@ -296,7 +270,7 @@ def q23_remap_sequences(spark: SparkSession, sf: str) -> DataFrame:
 @query("select conv_id, count(*) as turns from conversations group by conv_id having count(*) filter (where role = 'user') = 1 and count(*) filter (where role = 'assistant') <= 1")
 def q24_only_primary(spark: SparkSession, sf: str) -> DataFrame:
     # An engine per role; turns of a role are its runs, and a run of any other role carries a tag.
-    runs = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.collect_list(F.struct(F.array("text").alias("transcription"), F.when(~F.col("role").isin("user", "assistant"), F.col("role")).alias("language"))).alias("runs"), F.count("*").alias("n"))
+    runs = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.collect_list(F.struct(F.array("role").alias("transcription"), F.when(~F.col("role").isin("user", "assistant"), F.col("role")).alias("language"))).alias("runs"), F.count("*").alias("n"))
     convs = runs.groupBy("conv_id").agg(F.collect_list(F.when(F.col("role").isin("user", "assistant"), F.col("runs"))).alias("engines"), F.sum("n").alias("turns"), F.max(F.col("role") == "user").alias("has_user"))
     return convs.filter(remap.only_primary(F.col("engines")) & F.col("has_user")).select("conv_id", "turns")
 
@@ -386,11 +360,11 @@ def q34_skip_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 select doc_id, (1 + n_chars // 160)::bigint as frames, case when n_chars <= 1 then 1 else (1::bigint << length(ltrim(bin(n_chars - 1), '0'))) end as power,
-  (((((n_chars + 0 - 10) // 5 + 1) - 3) // 2 + 1))::bigint as conv, floor(25 / 1000.0 * n_chars)::int as samples
-from documents where n_chars >= 20""")
+  (floor((floor((n_chars - 10) / 5.0) + 1 - 3) / 2.0) + 1)::bigint as conv, floor(25 / 1000.0 * n_chars)::int as samples
+from documents""")
 def q35_frame_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n_chars")
-    return table(spark, sf, "documents").filter("n_chars >= 20").select("doc_id", numeric.frame_count(n, 160).alias("frames"), numeric.next_power_of_two(n).alias("power"), numeric.conv_chain(n, [(10, 5), (3, 2)], use_padding=False).alias("conv"), (F.lit(25) / 1000 * n).cast("int").alias("samples"))
+    return table(spark, sf, "documents").select("doc_id", numeric.frame_count(n, 160).alias("frames"), numeric.next_power_of_two(n).alias("power"), numeric.conv_chain(n, [(10, 5), (3, 2)], use_padding=False).alias("conv"), (F.lit(25) / 1000 * n).cast("int").alias("samples"))
 
 
 @query("""
@@ -405,12 +379,6 @@ def q37_durations(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("lang", F.round("total", 6).alias("total"), F.round("mean", 6).alias("mean"), "n", numeric.human_duration(F.col("total")).alias("spoken"))
 
 
-@query("select event_id, (props::json->>'k')::int as k, json_object('event_id', event_id, 'k', (props::json->>'k')::int)::varchar as line from events")
-def q38_json_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-    return rows.withColumn("line", F.to_json(F.struct("event_id", "k")))
-
-
 @query(r"select page_id, regexp_replace(url, '([^/])\.[^./]*$', '\1') as stem, 'corpus/' || split_part(split_part(url, '/', 4), '?', 1) || '/audio/' || page_id || '.wav' as path from pages")
 def q39_file_stem(spark: SparkSession, sf: str) -> DataFrame:
     lang = F.get(F.split(F.get(F.split("url", "/"), F.lit(3)), r"\?"), F.lit(0))
@@ -425,17 +393,20 @@ def q40_language_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with s as (select l_suppkey as k, list_sort(list(distinct l_returnflag || l_linestatus)) as inv from lineitem group by all),
-t as (select l_linenumber as k, list_sort(list(distinct l_returnflag || l_linestatus)) as inv from lineitem where l_quantity > 49 group by all)
-select s.k, array_to_string(list_sort(list_intersect(s.inv, t.inv)), ',') as common, array_to_string(list_sort(list_filter(s.inv, lambda x: not list_contains(t.inv, x))), ',') as lacking,
-  array_to_string(list_sort(list_distinct(s.inv || t.inv)), ',') as either, len(list_filter(s.inv, lambda x: not list_contains(t.inv, x))) = 0 as subset
-from s join t on s.k = t.k""")
+with s as (select l_suppkey as k, list_sort(list(distinct l_returnflag || l_linestatus || l_linenumber % 4)) as inv from lineitem group by all),
+t as (select l_suppkey as k, list_sort(list(distinct l_returnflag || l_linestatus || l_linenumber % 5)) as inv from lineitem where l_quantity > 30 group by all),
+b as (select s.k, s.inv as a, coalesce(t.inv, []) as b from s left join t on s.k = t.k)
+select k, array_to_string(list_sort(list_intersect(a, b)), ',') as common, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), ',') as lacking,
+  array_to_string(list_sort(list_distinct(a || b)), ',') as either, len(list_filter(a, lambda x: not list_contains(b, x))) = 0 as subset
+from b""")
 def q41_set_operations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").withColumn("x", F.concat("l_returnflag", "l_linestatus"))
-    s = rows.groupBy(F.col("l_suppkey").alias("k")).agg(F.sort_array(F.collect_set("x")).alias("a"))
-    t = rows.filter("l_quantity > 49").groupBy(F.col("l_linenumber").cast("long").alias("k")).agg(F.sort_array(F.collect_set("x")).alias("b"))
+    rows = table(spark, sf, "lineitem")
+    kind = lambda n: F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % n).cast("string"))))
+    s = rows.groupBy(F.col("l_suppkey").alias("k")).agg(kind(4).alias("a"))
+    t = rows.filter("l_quantity > 30").groupBy(F.col("l_suppkey").alias("k")).agg(kind(5).alias("b"))
+    s = s.join(t, "k", "left").withColumn("b", F.coalesce("b", F.array().cast("array<string>")))
     a, b = F.col("a"), F.col("b")
-    return s.join(t, "k").select("k", F.array_join(sets.intersection(a, b), ",").alias("common"), F.array_join(sets.difference(a, b), ",").alias("lacking"), F.array_join(sets.union(a, b), ",").alias("either"), sets.is_subset(a, b).alias("subset"))
+    return s.select("k", F.array_join(sets.intersection(a, b), ",").alias("common"), F.array_join(sets.difference(a, b), ",").alias("lacking"), F.array_join(sets.union(a, b), ",").alias("either"), sets.is_subset(a, b).alias("subset"))
 
 
 @query("""
@@ -555,3 +526,6 @@ def q56_turn_edits(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", r"\s+").alias("a"))
     turns = turns.withColumn("b", F.lead("a").over(W.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
     return edit.statistics_arrow(turns, "a", "b").select("conv_id", "turn", "edits.*")
+
+
+from phonora.plans import more_queries  # noqa: E402, F401  (adds to QUERIES and ORACLES)
