@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATISTICS = ("insertions", "deletions", "substitutions", "correct")
 
@@ -40,14 +42,37 @@ def statistics(expected: str, actual: str) -> Column:
 
 
 def distance(expected: str, actual: str) -> Column:
-    """Levenshtein distance of token arrays: tokens become private code points, then the built-in runs."""
+    """Levenshtein distance of token arrays: tokens become code points, then the built-in runs.
+
+    A null token is a value of its own; a null array gives null.  Unicode has points for 1,112,062 different
+    tokens of a pair.
+    """
     body = f"levenshtein(aggregate({{a}}, '', (s, t) -> concat(s, {_point('t')})), aggregate({{b}}, '', (s, t) -> concat(s, {_point('t')})))"
     return _e(f"transform(array(array_distinct(concat({expected}, {actual}))), v -> {body.format(a=expected, b=actual)})[0]")
 
 
 def _point(token: str) -> str:
-    """A string of one code point for the position of a token among the distinct tokens."""
-    return f"decode(unhex(lpad(hex(19968 + array_position(v, {token})), 4, '0')), 'UTF-16BE')"
+    """A string of one code point for the position of a token among the distinct tokens, past the surrogates."""
+    place = f"1 + coalesce(array_position(v, {token}), 0)"
+    return f"decode(unhex(lpad(hex({place} + if({place} < 55296, 0, 2048)), 8, '0')), 'UTF-32')"
+
+
+#: Cells of a cost table from which numpy fills it: the fold in the JVM copies a row for each cell.
+LONG_CELLS = 4096
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in STATISTICS]))
+def _long_statistics(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
+    nothing = (None,) * len(STATISTICS)
+    found = [nothing if a is None or b is None else counts(cost_matrix(a, b)) for a, b in zip(expected, actual, strict=True)]
+    return pd.DataFrame(found, columns=STATISTICS, dtype="Int64")
+
+
+def any_statistics(expected: str, actual: str, cells: int = LONG_CELLS) -> Column:
+    """``statistics`` for arrays of any length: short pairs in the JVM, long ones, and only they, in Arrow batches."""
+    a, b = F.col(expected), F.col(actual)
+    long = F.size(a).cast("long") * F.size(b) > cells
+    return F.when(long, _long_statistics(F.when(long, a), F.when(long, b))).otherwise(statistics(expected, actual))
 
 
 def total_cost(expected: str, actual: str) -> Column:

@@ -17,7 +17,7 @@ PHONES = ("phone", "phoneme")
 
 def with_statistics(df: DataFrame, expected: str, actual: str) -> DataFrame:
     """``df`` plus insertions, deletions, substitutions and correct."""
-    s = df.withColumn("_s", edit.statistics(expected, actual))
+    s = df.withColumn("_s", edit.any_statistics(expected, actual))
     return s.withColumns({n: F.col(f"_s.{n}") for n in edit.STATISTICS}).drop("_s")
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,8 +28,18 @@ DEFAULT_DIALECTS = {
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A number that follows the order of the file; a table that has one keeps it."""
-    return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+    """What the order of rows goes by; a table that has it keeps it.
+
+    Rows of files go by path, start of the split and place in it, so splits may be read in any order; rows
+    of other tables go by partition and place.
+    """
+    if ROW in df.columns:
+        return df
+    here = F.monotonically_increasing_id().alias("at")
+    try:
+        return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), here).alias(ROW))
+    except AnalysisException:  # not from files
+        return df.withColumn(ROW, F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), here))
 
 
 def non_marginal(df: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Nearest phones by Hamming distance over feature vectors.
 
-The target side is an inventory of at most a few thousand phones.  It reaches the source rows as one array
+The target side is an inventory, mostly of a few thousand phones.  It reaches the source rows as one array
 value (a scalar subquery), and each row finds its best target with array functions: there is no join of
-all pairs, nothing is shuffled, and a row of output is made per source only.
+all pairs, nothing is shuffled, and a row of output is made per source only.  A larger target side is cut
+into such arrays; a source row meets one after another and keeps the best of each.
 """
 
 from __future__ import annotations
@@ -27,37 +28,57 @@ def with_base_count(features: Column, phoneme: Column) -> Column:
     return F.concat(features, F.array(F.length(ipa.base(phoneme)).cast("string")))
 
 
-def _targets(target: DataFrame, add_base_count: bool) -> Column:
-    """The inventory (phoneme, pos, features) as one array; more rows than an inventory has are an error."""
+def _targets(target: DataFrame, add_base_count: bool, block: Column | None = None) -> DataFrame:
+    """The inventory (phoneme, pos, features) as one array, or one for each block."""
     vector = with_base_count(F.col("features"), F.col("phoneme")) if add_base_count else F.col("features")
-    one = target.agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("pos").alias("pos"), F.col("phoneme").alias("phoneme"), vector.alias("v"))).alias("items"))
-    too_many = F.raise_error(F.lit(f"an inventory of more than {BROADCAST_ROWS} phones"))
-    return one.select(F.when(F.col("n") <= BROADCAST_ROWS, F.col("items")).otherwise(too_many.cast(one.schema["items"].dataType))).scalar()
+    items = F.collect_list(F.struct(F.col("pos").alias("pos"), F.col("phoneme").alias("phoneme"), vector.alias("v"))).alias("_targets")
+    return target.agg(items) if block is None else target.groupBy(block.alias("_block")).agg(items)
 
 
-def _with_distances(source: DataFrame, target: DataFrame, add_base_count: bool) -> DataFrame:
-    """(source, _d): per source row the array of (distance, target_pos, target)."""
+def _with_distances(source: DataFrame, target: DataFrame, add_base_count: bool, rows: int = 0) -> tuple[DataFrame, bool]:
+    """(source, _row, _d): per source row the array of (distance, target_pos, target), or one row for each block.
+
+    Also whether there are several blocks; _row names a source row then.
+    """
     own = with_base_count(F.col("features"), F.col("phoneme")) if add_base_count else F.col("features")
-    rows = source.select(F.col("phoneme").alias("source"), own.alias("_own")).withColumn("_targets", _targets(target, add_base_count))
+    named = source.select(F.col("phoneme").alias("source"), own.alias("_own"))
+    n = target.count()
+    blocks = -(-n // (rows or BROADCAST_ROWS))
+    if blocks <= 1:
+        named = named.withColumn("_row", F.lit(0).cast("long")).withColumn("_targets", _targets(target, add_base_count).scalar())
+    else:
+        named = named.withColumn("_row", F.xxhash64("source", "_own")).withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        parts = _targets(target, add_base_count, F.pmod(F.xxhash64("pos", "phoneme"), F.lit(blocks)).cast("int"))
+        named = named.join(parts, F.col("_at") == F.col("_block"))
     one = lambda t: F.struct(numeric.hamming(F.col("_own"), t["v"]).alias("distance"), t["pos"].alias("target_pos"), t["phoneme"].alias("target"))
-    return rows.select("source", F.transform("_targets", one).alias("_d"))
+    return named.select("source", "_row", F.transform("_targets", one).alias("_d")), blocks > 1
 
 
-def pairs(source: DataFrame, target: DataFrame, add_base_count: bool = False) -> DataFrame:
+def pairs(source: DataFrame, target: DataFrame, add_base_count: bool = False, rows: int = 0) -> DataFrame:
     """(source, target, target_pos, distance) of every source phone with every target phone: the distance matrix itself."""
-    found = _with_distances(source, target, add_base_count).select("source", F.explode("_d").alias("_d"))
+    found = _with_distances(source, target, add_base_count, rows)[0].select("source", F.explode("_d").alias("_d"))
     return found.select("source", "_d.target", "_d.target_pos", "_d.distance")
 
 
-def closest(source: DataFrame, target: DataFrame, add_base_count: bool = False) -> DataFrame:
-    """(source, target, distance) of the nearest target; the first by position wins ties."""
-    found = _with_distances(source, target, add_base_count).select("source", F.array_min("_d").alias("_d"))
-    return found.filter("_d is not null").select("source", "_d.target", "_d.distance")
+def closest(source: DataFrame, target: DataFrame, add_base_count: bool = False, rows: int = 0) -> DataFrame:
+    """(source, target, distance) of the nearest target; the first by position wins ties.
+
+    With several blocks of targets, equal rows of ``source`` give one row.
+    """
+    found, several = _with_distances(source, target, add_base_count, rows)
+    found = found.select("source", "_row", F.array_min("_d").alias("_d")).filter("_d is not null")
+    if several:
+        found = found.groupBy("source", "_row").agg(F.min("_d").alias("_d"))
+    return found.select("source", "_d.target", "_d.distance")
 
 
-def k_nearest(source: DataFrame, target: DataFrame, k: int) -> DataFrame:
+def k_nearest(source: DataFrame, target: DataFrame, k: int, rows: int = 0) -> DataFrame:
     """(source, rank, target, distance) of the k nearest targets."""
-    found = _with_distances(source, target, False).select("source", F.posexplode(F.slice(F.array_sort("_d"), 1, k)).alias("_r", "_d"))
+    found, several = _with_distances(source, target, False, rows)
+    found = found.select("source", "_row", F.slice(F.array_sort("_d"), 1, k).alias("_d"))
+    if several:
+        found = found.groupBy("source", "_row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_d"))), 1, k).alias("_d"))
+    found = found.select("source", F.posexplode("_d").alias("_r", "_d"))
     return found.select("source", (F.col("_r") + 1).alias("rank"), "_d.target", "_d.distance")
 
 
@@ -72,7 +93,8 @@ def map_inventories(source: DataFrame, target: DataFrame, features: DataFrame |
     """(source, pos, target, distance): exact matches first, then the nearest with base counts.
 
     With ``split_complex`` a source whose number of base characters differs from its target's is split, and
-    each part goes to its own nearest target; ``features`` (phoneme, features) has vectors of the parts.
+    each part goes to its own nearest target; ``features`` (phoneme, features) has vectors of the parts, and
+    a part without one is an error.  ``pairs`` gives the distances, ``unmapped_targets`` what is left over.
     A distance of ``threshold`` or more leaves the phone, or the part, as it is.
     """
     names = target.select(F.col("phoneme").alias("_t"))
@@ -87,8 +109,10 @@ def map_inventories(source: DataFrame, target: DataFrame, features: DataFrame |
         return out
     vectors = (features if features is not None else source.unionByName(target.select(*source.columns))).select(F.col("phoneme").alias("part"), "features").dropDuplicates(["part"])
     parts = near.filter(~whole).select("source", F.posexplode(ipa.split_complex(F.col("source"))).alias("pos", "part"))
-    found = closest(parts.select(F.col("part").alias("phoneme")).distinct().join(vectors, F.col("phoneme") == F.col("part")).select("phoneme", "features"), target, True)
-    split = parts.join(found.withColumnRenamed("source", "_p"), F.col("part") == F.col("_p"))
+    error = F.raise_error(F.concat(F.lit("no features for "), F.col("phoneme")))
+    known = parts.select(F.col("part").alias("phoneme")).distinct().join(vectors, F.col("phoneme") == F.col("part"), "left")
+    found = closest(known.select("phoneme", F.coalesce("features", error.cast(vectors.schema["features"].dataType)).alias("features")), target, True)
+    split = parts.join(found.withColumnRenamed("source", "_p"), F.col("part") == F.col("_p"), "left")
     return out.unionByName(split.select("source", "pos", bounded(F.col("part")).alias("target"), "distance"))
 
 

@@ -38,17 +38,21 @@ def renamed(items: Column, mapping: Column, strict: bool = False) -> Column:
 def remap(df: DataFrame, column: str, mapping: DataFrame, strict: bool = False) -> DataFrame:
     """``df`` with an array column rewritten by (source, pos, target).
 
-    A mapping of an inventory's size is a broadcast map value; a larger one is joined element-wise.
+    A mapping of an inventory's size is a map value beside the rows; a larger one is joined with the elements
+    of the different arrays.  Either way an element without a mapping stays, or is an error if strict.
     """
     if mapping.limit(MAP_ENTRIES + 1).count() <= MAP_ENTRIES:
         return df.withColumn("_map", as_map(mapping)).withColumn(column, mapped(F.col(column), F.col("_map"), strict)).drop("_map")
-    columns = df.columns
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    items = rows.select("_row", F.posexplode(column).alias("_at", "_item"))
+    key = F.sha2(F.to_json(F.array(column)), 256)
+    arrays = df.filter(F.size(column) > 0).select(key.alias("_key"), F.col(column).alias("_items")).dropDuplicates(["_key"])
+    items = arrays.select("_key", F.posexplode("_items").alias("_at", "_item"))
     table = mapping.select(F.col("source").alias("_s"), F.col("pos").alias("_p"), F.col("target").alias("_t"))
     found = items.join(table, F.col("_item") == F.col("_s"), "left")
-    again = found.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_p", F.lit(0)).alias("_p"), F.coalesce("_t", "_item").alias("_t")))), lambda s: s["_t"]).alias("_new"))
-    return rows.join(again, "_row", "left").withColumn(column, F.coalesce("_new", column)).select(*columns)
+    unknown = F.raise_error(F.concat(F.lit("no mapping for "), "_item")).cast("string") if strict else F.col("_item")
+    to = F.when(F.col("_s").isNull(), unknown).otherwise(F.col("_t"))
+    order = F.struct("_at", F.coalesce("_p", F.lit(0)).alias("_p"), to.alias("_t"))
+    again = found.groupBy(F.col("_key").alias("_done")).agg(F.transform(F.sort_array(F.collect_list(order)), lambda s: s["_t"]).alias("_new"))
+    return df.withColumn("_key", key).join(again, F.col("_key") == F.col("_done"), "left").withColumn(column, F.coalesce("_new", column)).select(*df.columns)
 
 
 def remap_main_runs(engines: Column, mapping: Column) -> Column:

@@ -77,7 +77,9 @@ def transcribe(rows: DataFrame, engines: Sequence[Callable[[str], g2p.Engine]],
     if target is None:
         return spoken, inventory.concatenated_inventory(inventories, "lang")
     used = inventory.shared_inventory(inventories)
-    source = used.join(features, "phoneme") if features is not None else used.join(target.drop("pos", "idx"), "phoneme")
+    vectors = features if features is not None else target.drop("pos", "idx")
+    error = F.raise_error(F.concat(F.lit("no features for "), F.col("phoneme"))).cast(vectors.schema["features"].dataType)
+    source = used.join(vectors, "phoneme", "left").withColumn("features", F.coalesce("features", error))
     mapping = nearest.map_inventories(source.select("phoneme", "features"), target, features)
     as_map = remap.as_map(mapping)
     fixed = F.struct(F.col("phonemes.words").alias("words"), remap.remap_main_runs(F.col("phonemes.phonemes"), F.col("mapping")).alias("phonemes"))

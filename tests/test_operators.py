@@ -80,6 +80,23 @@ def test_nearest(spark):
     assert [(r["rank"], r["target"]) for r in ranked] == [(1, "a"), (2, "i")]
 
 
+def test_inventories_of_several_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    target = phones(spark, [(f"t{i}", rng.choices("01", k=12)) for i in range(50)])
+    source = phones(spark, [(f"s{i}", rng.choices("01", k=12)) for i in range(20)])
+    plain = lambda df: sorted(map(str, df.collect()))
+    for make in (nearest.closest, nearest.pairs, lambda s, t, **k: nearest.k_nearest(s, t, 7, **k)):
+        assert plain(make(source, target, rows=9)) == plain(make(source, target))
+
+
+def test_parts_without_features_are_an_error(spark):
+    target = phones(spark, [("a", "000"), ("i", "011")])
+    with pytest.raises(Exception, match="no features for o"):
+        nearest.map_inventories(phones(spark, [("ao", "001")]), target, phones(spark, [("a", "000")]), split_complex=True).collect()
+
+
 def test_two_phase_against_brute_force(spark):
     own = [("a", "0000"), ("b", "0011"), ("c", "1111")]
     target = [("x", "0001"), ("y", "0111"), ("z", "0110"), ("b", "1000")]
@@ -113,6 +130,11 @@ def test_remap(spark):
     old, remap.MAP_ENTRIES = remap.MAP_ENTRIES, 1
     try:
         assert {r["id"]: r["s"] for r in remap.remap(df, "s", mapping).collect()} == {1: ["x", "y", "z", "c"], 2: []}
+        with pytest.raises(Exception, match="no mapping for c"):
+            remap.remap(df, "s", mapping, strict=True).collect()
+        twice = df.union(df).union(spark.createDataFrame([(3, None)], "id int, s array<string>"))
+        assert sorted((r["id"], r["s"]) for r in remap.remap(twice, "s", mapping).filter("id < 3").collect()) == [(1, ["x", "y", "z", "c"])] * 2 + [(2, [])] * 2
+        assert remap.remap(twice, "s", mapping).filter("id = 3").first()["s"] is None
     finally:
         remap.MAP_ENTRIES = old
     runs = spark.createDataFrame([([[(["a"], None)]],), ([[(["a"], "en")]],), ([[(["a"], None), (["b"], None)]],)], "p array<array<struct<transcription:array<string>,language:string>>>")
