@@ -1,4 +1,4 @@
-"""Command line: features, evaluate, edits, error-rates, transcribe, lengths, stats, meta."""
+"""Command line: features, evaluate, edits, error-rates, transcribe, lengths, stats, meta, config."""
 
 from __future__ import annotations
 
@@ -52,7 +52,16 @@ def main(argv: list[str] | None = None) -> None:
     n.add_argument("--stride", type=int)
     m = sub.add_parser("meta", help="locales of a release")
     m.add_argument("file")
+    c = sub.add_parser("config", help="write the default configuration, or print it")
+    c.add_argument("output", nargs="?")
     a = p.parse_args(argv)
+    if a.command == "config":
+        if a.output:
+            with open(a.output, "x", encoding="utf-8") as out:
+                out.write(sources.DEFAULT_CONFIG)
+        else:
+            print(sources.DEFAULT_CONFIG, end="")
+        return
     spark = build_session()
     if a.command == "features":
         runs.extract_features(spark, a.table, a.output, languages=a.languages, attributes=a.attributes, prefer_default_dialects=a.default_dialects, remove_zero=a.remove_zero)
@@ -73,7 +82,8 @@ def main(argv: list[str] | None = None) -> None:
         spoken, _ = runs.transcribe(rows, [g2p.ENGINES[e] for e in a.engines])
         sinks.write_transcriptions(spoken, a.output)
     elif a.command == "lengths":
-        audio = sources.read_audio(spark, a.audio, a.sample_rate)
+        audio = sources.read_audio_info(spark, a.audio)
+        audio = audio.withColumn("num_samples", numeric.resampled_length(F.col("num_samples") / F.col("sample_rate"), F.col("sample_rate"), a.sample_rate).cast("long"))
         lang = F.coalesce(F.nullif(F.regexp_extract("path", r"([^/]+)/audio/[^/]+$", 1), F.lit("")), F.lit("und"))
         rows = audio.select(F.lit(a.split).alias("split"), lang.alias("lang"), F.xxhash64("path").alias("pos"), numeric.frame_count(F.col("num_samples"), a.stride).cast("long").alias("length"))
         sinks.write_lengths(rows, a.output)

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of ISO 639: two-letter code, three-letter code, macro-language where it differs.
-ALPHA3 = {
-    "ar": "ara", "be": "bel", "bg": "bul", "bn": "ben", "ca": "cat", "cs": "ces", "cy": "cym", "da": "dan", "de": "deu", "el": "ell",
-    "en": "eng", "es": "spa", "et": "est", "eu": "eus", "fa": "fas", "fi": "fin", "fr": "fra", "fy": "fry", "ga": "gle", "gl": "glg",
-    "gn": "grn", "ha": "hau", "he": "heb", "hi": "hin", "hr": "hrv", "hu": "hun", "hy": "hye", "id": "ind", "ig": "ibo", "is": "isl",
-    "it": "ita", "ja": "jpn", "ka": "kat", "kk": "kaz", "ko": "kor", "ky": "kir", "lt": "lit", "lv": "lav", "mk": "mkd", "ml": "mal",
-    "mn": "mon", "mr": "mar", "mt": "mlt", "nl": "nld", "no": "nor", "pa": "pan", "pl": "pol", "pt": "por", "ro": "ron", "ru": "rus",
-    "rw": "kin", "sk": "slk", "sl": "slv", "sq": "sqi", "sr": "srp", "sv": "swe", "sw": "swa", "ta": "tam", "th": "tha", "tr": "tur",
-    "tt": "tat", "ug": "uig", "uk": "ukr", "ur": "urd", "uz": "uzb", "vi": "vie", "yo": "yor", "zh": "zho",
+# Macro-languages and their members in ISO 639-3; others can be given as a table.
+MACROS = {
+    "aka": "fat twi", "ara": "arb arz apc acm ary arq ars ajp aeb acw afb ayl ayn ayp apd acq", "aze": "azj azb", "bal": "bgp bgn bcc", "bik": "bcl bln bto",
+    "cre": "crk cwd csw crm crl crj", "din": "dip diw dik", "est": "ekk vro", "fas": "pes prs", "ful": "fub fuc fue fuf fuh fui fuq fuv ffm", "grn": "gug gui gun gnw nhd",
+    "hbs": "hrv srp bos cnr", "hmn": "mww hnj", "iku": "ike ikt", "jrb": "yhd aju ajt", "kau": "knc kby krt", "kln": "niq oki pko spy", "kok": "gom knn", "kom": "koi kpv",
+    "kon": "kng ldi kwy", "kpe": "gkp xpe", "kur": "ckb kmr sdh", "lah": "pnb skr hno", "lav": "lvs ltg", "luy": "bxk lrm", "mlg": "plt bhr skg tdx", "mon": "khk mvf",
+    "msa": "ind zlm zsm min bjn jax", "nep": "npi dty", "nor": "nob nno", "oji": "ciw ojg ojb ojs", "ori": "ory spv", "orm": "gaz gax hae orc", "pus": "pbt pbu pst",
+    "que": "quy quz qub quh qul qvi", "rom": "rmc rmf rml rmn rmo rmw rmy", "sqi": "als aae aat aln", "srd": "sro src sdc sdn", "swa": "swh swc", "syr": "aii cld",
+    "uzb": "uzn uzs", "yid": "ydd yih", "zha": "zyb zyn", "zho": "cmn yue nan wuu hak hsn gan cdo cjy cpx czh czo mnp lzh", "zza": "diq kiu",
 }
-MACRO = {"arb": "ara", "arz": "ara", "cmn": "zho", "yue": "zho", "nan": "zho", "pes": "fas", "prs": "fas", "ekk": "est", "lvs": "lav", "swh": "swa", "swc": "swa", "khk": "mon", "uzn": "uzb", "zlm": "msa", "ind": "msa", "nob": "nor", "nno": "nor", "als": "sqi", "gug": "grn", "heb": "heb"}
+MACRO = {member: macro for macro, members in MACROS.items() for member in members.split()}
 SCRIPT_SUBTAG = r"^[A-Z][a-z]{3}$"
 
 
@@ -25,6 +26,13 @@ def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+@cache
+def two_letter() -> dict[str, str]:
+    """All two-letter codes of ISO 639 with their three-letter codes, as the Java runtime knows them."""
+    locale = SparkSession.active()._jvm.java.util.Locale
+    return {str(c): str(locale.forLanguageTag(c).getISO3Language()) for c in locale.getISOLanguages()}
+
+
 def language(code: Column) -> Column:
     """The language subtag of a code such as ga-IE or zh_TW, lower case."""
     return F.lower(F.get(F.split(code, "[-_]"), F.lit(0)))
@@ -45,13 +53,31 @@ def subtags(code: Column) -> Column:
 def alpha3(code: Column) -> Column:
     """Three-letter code; one of three letters is itself, an unknown one null."""
     lang = language(code)
-    return F.coalesce(F.try_element_at(_map(ALPHA3), lang), F.when(F.length(lang) == 3, lang))
+    return F.coalesce(F.try_element_at(_map(two_letter()), lang), F.when(F.length(lang) == 3, lang))
 
 
-def macro(code: Column) -> Column:
-    """Macro-language of a code, or its own three-letter code."""
+def macro(code: Column, macros: dict[str, str] | None = None) -> Column:
+    """Macro-language of a code, or its own three-letter code.  ``macros``: members with their macro-languages."""
     three = alpha3(code)
-    return F.coalesce(F.try_element_at(_map(MACRO), three), three)
+    return F.coalesce(F.try_element_at(_map(MACRO if macros is None else macros), three), three)
+
+
+def standardised(code: Column, use_macro: bool = False) -> Column:
+    """A code as language, script, territory and variants with dashes, each in its usual case, two letters where there are.
+
+    With ``use_macro`` the language gives way to its macro-language.
+    """
+    shorter = {three: two for two, three in two_letter().items()}
+    three = macro(code) if use_macro else alpha3(code)
+    parts = F.slice(F.split(code, "[-_]"), 2, 10)
+    cased = lambda p: F.when(p.rlike("^[A-Za-z]{4}$"), F.initcap(p)).when(p.rlike("^([A-Za-z]{2}|[0-9]{3})$"), F.upper(p)).otherwise(F.lower(p))
+    return F.array_join(F.concat(F.array(F.coalesce(F.try_element_at(_map(shorter), three), three)), F.transform(parts, cased)), "-")
+
+
+def variant(code: Column) -> Column:
+    """Territory and variants of a code with dashes between; null if it has none."""
+    parts = F.filter(F.slice(F.split(code, "[-_]"), 2, 10), lambda p: p.rlike("^([A-Z]{2}|[0-9]{3}|[a-z0-9]{5,8}|[0-9][a-z0-9]{3})$"))
+    return F.nullif(F.array_join(parts, "-"), F.lit(""))
 
 
 def code_map(spark: SparkSession, codes: Iterable[str], defaults: dict[str, str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ applied to a corpus together, words beside engines.
 from __future__ import annotations
 
 import re
+import shutil
+import subprocess
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -14,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from phonora import schemas
+from phonora.functions import ipa
 
 Run = tuple[list[str], str | None]
-ENGINES: dict[str, Callable[[str], Engine]] = {}
+Hook = Callable[[list[str]], list[str]]
+ENGINES: dict[str, Callable[..., Engine]] = {}
 
 
 class Engine(ABC):
@@ -67,6 +71,121 @@ class Letters(Engine):
         return [[([c for c in w.lower() if c.isalpha()], None)] for w in words]
 
 
+class Segmented(Engine):
+    """An engine whose output is cut into the segments of an inventory, what is no segment being dropped.
+
+    ``before`` rewrites the phones of a run, ``after`` the segments that were found.
+    """
+
+    def __init__(self, language: str, segments: Sequence[str], before: Hook | None = None, after: Hook | None = None) -> None:
+        super().__init__(language)
+        self.before, self.after = before or list, after or list
+        self.pattern = re.compile("|".join(map(re.escape, sorted(set(segments), key=lambda s: (-len(s), s)))) or "(?!)")
+
+    def cut(self, phones: Sequence[str]) -> list[str]:
+        return self.after([m[0] for p in self.before(list(phones)) for m in self.pattern.finditer(p)])
+
+
+def clean_phones(phones: list[str], replacements: Mapping[str, str] | None = None) -> list[str]:
+    """Noise of a speech synthesiser's phones: a lone ʲ joins what follows, others are replaced, ties go."""
+    table, out, rest = ipa.REPLACEMENTS if replacements is None else replacements, [], iter(phones)
+    for p in rest:
+        if p == "ʲ":
+            p += next(rest, "")
+        out.append(table.get(p, p).replace(ipa.TIE, ""))
+    return out
+
+
+@register("epitran")
+class Epitran(Segmented):
+    """Rule-based transcription by the library of that name, where it is installed.
+
+    ``mode`` is its code of language and script; without one, the first that it offers for the language.
+    """
+
+    def __init__(self, language: str, segments: Sequence[str], tones: bool = False, mode: str | None = None, **hooks: Hook | None) -> None:
+        super().__init__(language, segments, **hooks)
+        from epitran import Epitran as Library
+
+        self.library = Library(mode or self.mode_of(language), tones=tones)
+
+    @staticmethod
+    def mode_of(language: str) -> str:
+        from epitran import meta
+
+        mode = "eng-Latn" if language == "eng" else meta.get_default_mode(language)
+        if mode is None:
+            raise ValueError(f"no rules for {language}")
+        return mode
+
+    @classmethod
+    def supports(cls, language: str) -> bool:
+        try:
+            cls.mode_of(language)
+        except (ImportError, ValueError):
+            return False
+        return True
+
+    def process(self, words: Sequence[str]) -> list[list[Run]]:
+        return [[(self.cut(self.library.trans_list(w)), None)] if w else [] for w in words]
+
+
+#: Tags of voices that the synthesiser spells wrongly, and the default voices of languages (fixed values).
+VOICES = {"chr-US-Qaaa-x-west": "chr-Qaaa-US-x-west", "en-us-nyc": "en-us-x-nyc"}
+DEFAULT_VOICES = {"fr": "fr-fr", "en": "en-us"}
+
+
+@register("espeak")
+class Espeak(Segmented):
+    """Transcription by the eSpeak NG program, where it is installed; words of other languages carry their tag."""
+
+    REQUIRES_TOKENIZER = False
+    PROGRAM = "espeak-ng"
+
+    def __init__(self, language: str, segments: Sequence[str], before: Hook | None = clean_phones, after: Hook | None = None) -> None:
+        super().__init__(language, segments, before, after)
+        self.voice = self.voice_of(language)
+        if self.voice is None:
+            raise ValueError(f"no voice for {language}")
+
+    @classmethod
+    def voices(cls) -> list[str]:
+        """Codes of the voices, from the program's own list."""
+        if shutil.which(cls.PROGRAM) is None:
+            return []
+        listed = subprocess.run([cls.PROGRAM, "--voices"], capture_output=True, text=True, check=True).stdout
+        return [VOICES.get(x[1], x[1]) for line in listed.splitlines()[1:] if len(x := line.split()) > 1]
+
+    @classmethod
+    def voice_of(cls, language: str) -> str | None:
+        voices = cls.voices()
+        wanted = DEFAULT_VOICES.get(language, language)
+        return wanted if wanted in voices else next((v for v in voices if v.split("-")[0] == language), None)
+
+    @classmethod
+    def supports(cls, language: str) -> bool:
+        return cls.voice_of(language) is not None
+
+    def spoken(self, text: str) -> str:
+        """Phones of a text, apart by underscores, with switches of language as (xx)."""
+        command = [self.PROGRAM, "-q", "--ipa", "--sep=_", "-v", str(self.voice), "--stdin"]
+        return subprocess.run(command, input=text, capture_output=True, text=True, check=True).stdout
+
+    def process(self, words: Sequence[str]) -> list[list[Run]]:
+        return [self.runs(self.spoken(w)) if w else [] for w in words]
+
+    def runs(self, spoken: str) -> list[Run]:
+        """Runs of phones and their language tags, None for the main language."""
+        out: list[Run] = []
+        flag = None
+        for part in re.split(r"(\([\w-]+\))", spoken):
+            if m := re.fullmatch(r"\(([\w-]+)\)", part):
+                flag = None if m[1] in (self.voice, str(self.voice).split("-")[0]) else m[1]
+            elif phones := self.cut([p for p in re.split(r"[\s_]+", re.sub("[ˈˌ]", "", part)) if p]):
+                out.append((phones, flag))
+        return out
+
+
 class ToneBackoff(Engine):
     """An engine whose tone letters are dropped where the inventory has no tones."""
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import io
 import json
 import re
+import struct
 import tomllib
+import urllib.request
 import wave
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +23,6 @@ from phonora.functions import text
 from phonora.operators import corpus, inventory
 
 
-
 def _fs(spark: SparkSession, path: str):
     """Hadoop's file system of a path, so that any store that Spark reads can be listed."""
     jvm = spark.sparkContext._jvm
@@ -90,6 +92,19 @@ def read_phoneme_list(spark: SparkSession, path: str) -> DataFrame:
     return inventory.with_row_id(lines.filter("phoneme <> ''"))
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """``raw`` plus _path and pos, the number of a row in its file, however the file is split.
+
+    Rows are counted by split, and numbered from what the splits before theirs hold.
+    """
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    parts = rows.groupBy("_path", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_before", before).drop("_n")
+    out = rows.join(parts, ["_path", "_start"])
+    return out.select(*raw.columns, "_path", (F.col("_before") + F.col("_at") - F.col("_first")).alias("pos"))
+
+
 # Clips of a crowd-sourced speech corpus: one directory per language, one TSV per split.
 
 
@@ -111,7 +126,7 @@ def read_clips(spark: SparkSession, path: str, files: Sequence[str], languages:
             continue
         # One read for all languages; the order of a file is that of its bytes.
         raw = spark.read.csv(paths, schema=schemas.CLIP, sep="\t", quote="", header=True, enforceSchema=True, mode="FAILFAST")
-        rows = raw.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("lang"), F.lit(name).alias("file"), F.monotonically_increasing_id().alias("pos"))
+        rows = _numbered(raw).withColumns({"lang": F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1), "file": F.lit(name)}).drop("_path")
         rows = rows.withColumns({c: text.null_if_empty(F.col(c)) for c in ("age", "gender", "accents", "segment")})
         if limit is not None:
             rows = corpus.limited(rows, limit, ["pos"])
@@ -139,9 +154,13 @@ def read_splits(spark: SparkSession, path: str, include_other: bool = False, val
     return train.unionByName(dev).unionByName(read_split(spark, path, "test", languages=languages))
 
 
-def read_release_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Release metadata; keys that are not in the schema are ignored."""
-    return spark.read.schema(schemas.RELEASE_META).json(path, multiLine=True)
+def read_release_meta(spark: SparkSession, path: str, timeout: float = 60) -> DataFrame:
+    """Release metadata of a file or a web address; keys that are not in the schema are ignored."""
+    if not re.match("https?://", path):
+        return spark.read.schema(schemas.RELEASE_META).json(path, multiLine=True)
+    with urllib.request.urlopen(path, timeout=timeout) as reply:
+        body = spark.createDataFrame([(reply.read().decode(),)], "value string")
+    return body.select(F.from_json("value", schemas.RELEASE_META).alias("m")).select("m.*")
 
 
 def locales(meta: DataFrame) -> DataFrame:
@@ -264,12 +283,53 @@ def decode_wave(content: bytes) -> tuple[int, np.ndarray]:
     return rate, (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
 
 
-def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation to a sample rate, length rounded up."""
-    if rate == target:
+def resample(x: np.ndarray, rate: int, target: int, width: int = 6, rolloff: float = 0.99) -> np.ndarray:
+    """Band-limited interpolation to a sample rate by a sinc kernel under a Hann window, length rounded up."""
+    if rate == target or not len(x):
         return x
-    n = -(-len(x) * target // rate)
-    return np.interp(np.arange(n) * rate / target, np.arange(len(x)), x).astype(np.float32)
+    common = np.gcd(rate, target)
+    old, new = rate // common, target // common
+    base = min(old, new) * rolloff
+    half = int(np.ceil(width * old / base))
+    taps = np.arange(-half, half + old) / old
+    t = np.clip((taps[None, :] - np.arange(new)[:, None] / new) * base, -width, width)
+    kernel = np.sinc(t) * np.cos(t * np.pi / width / 2) ** 2 * base / old
+    padded = np.pad(x.astype(np.float64), (half, half + old))
+    steps = np.lib.stride_tricks.sliding_window_view(padded, len(taps))[::old]
+    return (steps @ kernel.T).ravel()[: -(-len(x) * target // rate)].astype(np.float32)
+
+
+#: Bytes from the start of a file that hold the header of a WAVE file.
+HEADER_BYTES = 1 << 16
+
+
+def wave_header(head: bytes, size: int) -> tuple[int, int, int, int]:
+    """(sample rate, channels, bits of a sample, samples) from the first bytes of a WAVE file of ``size`` bytes."""
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        raise ValueError("not a WAVE file")
+    at, found = 12, None
+    while at + 8 <= len(head):
+        kind, n = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
+        if kind == b"fmt ":
+            found = struct.unpack("<HHIIHH", head[at + 8 : at + 24])
+        elif kind == b"data" and found:
+            _, channels, rate, _, block, bits = found
+            return rate, channels, bits, min(n, size - at - 8) // block
+        at += 8 + n + n % 2
+    raise ValueError("no data in the header")
+
+
+def read_audio_info(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sample_rate, num_channels, bits_per_sample, num_samples) of WAVE files; only headers are decoded."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(p, *wave_header(bytes(h), int(n))) for p, h, n in zip(part["path"], part["head"], part["length"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "sample_rate", "num_channels", "bits_per_sample", "num_samples"])
+
+    heads = files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head"), "length")
+    return heads.mapInPandas(run, "path string, sample_rate int, num_channels int, bits_per_sample int, num_samples long")
 
 
 def read_audio(spark: SparkSession, path: str, target: int | None = None) -> DataFrame:
@@ -288,8 +348,8 @@ def read_audio(spark: SparkSession, path: str, target: int | None = None) -> Dat
     return files.select("path", "content").mapInPandas(run, "path string, sample_rate int, num_samples long, audio array<float>")
 
 
-def log_mel(audio: np.ndarray, rate: int, bands: int = 40, frame_ms: int = 25, stride_ms: int = 10) -> np.ndarray:
-    """Logarithmic mel energies (frames x bands) of centred frames."""
+def mel_power(audio: np.ndarray, rate: int, bands: int = 40, frame_ms: int = 25, stride_ms: int = 10) -> np.ndarray:
+    """Mel energies (frames x bands) of centred frames."""
     size, stride = int(frame_ms / 1000 * rate), int(stride_ms / 1000 * rate)
     n_fft = 1 << max(size - 1, 1).bit_length()
     padded = np.pad(audio, n_fft // 2, "reflect" if len(audio) > n_fft // 2 else "constant")
@@ -304,23 +364,85 @@ def log_mel(audio: np.ndarray, rate: int, bands: int = 40, frame_ms: int = 25, s
     freqs = np.linspace(0, rate / 2, n_fft // 2 + 1)
     up = (freqs[None, :] - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
     down = (edges[2:, None] - freqs[None, :]) / (edges[2:] - edges[1:-1])[:, None]
-    return np.log(power @ np.maximum(0, np.minimum(up, down)).T + 1e-5)
+    return power @ np.maximum(0, np.minimum(up, down)).T
+
+
+def log_mel(audio: np.ndarray, rate: int, bands: int = 40, frame_ms: int = 25, stride_ms: int = 10) -> np.ndarray:
+    """Logarithmic mel energies (frames x bands)."""
+    return np.log(mel_power(audio, rate, bands, frame_ms, stride_ms) + 1e-5)
 
 
-def features_of(audio: DataFrame, bands: int = 40) -> DataFrame:
-    """``audio`` plus features array<array<float>>."""
+def pre_emphasised(audio: np.ndarray, coefficient: float = 0.97) -> np.ndarray:
+    """Each sample less the coefficient times the one before; before the first comes the second."""
+    before = np.concatenate([audio[1:2] if len(audio) > 1 else audio[:1], audio[:-1]])
+    return audio - coefficient * before
+
+
+def normalised(features: np.ndarray, epsilon: float = 1e-5) -> np.ndarray:
+    """Zero mean and unit variance over the frames, feature by feature."""
+    return (features - features.mean(axis=0)) / np.sqrt(features.var(axis=0) + epsilon)
+
+
+def mfcc(audio: np.ndarray, rate: int, coefficients: int = 40, bands: int = 128, frame_ms: int = 25, stride_ms: int = 10) -> np.ndarray:
+    """Cepstral coefficients (frames x coefficients): an orthonormal cosine transform of mel energies in decibels.
+
+    Energies more than 80 decibels below the loudest are raised to that.
+    """
+    power = 10 * np.log10(np.maximum(mel_power(audio, rate, bands, frame_ms, stride_ms), 1e-10))
+    power = np.maximum(power, power.max() - 80)
+    k, n = np.arange(coefficients)[:, None], np.arange(bands)[None, :]
+    basis = np.cos(np.pi / bands * (n + 0.5) * k) * np.sqrt(2 / bands)
+    basis[0] /= np.sqrt(2)
+    return power @ basis.T
+
+
+#: Features by name; each takes samples, their rate and the number of features.
+FEATURES = {
+    "filterbanks": lambda x, rate, n: normalised(log_mel(pre_emphasised(x), rate, n)),
+    "mfcc": lambda x, rate, n: normalised(mfcc(pre_emphasised(x), rate, n)),
+    "log_mel": log_mel,
+}
+
+
+def features_of(audio: DataFrame, bands: int = 40, kind: str = "log_mel") -> DataFrame:
+    """``audio`` plus features array<array<float>> of a kind named in ``FEATURES``."""
+    make = FEATURES[kind]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(features=[log_mel(np.asarray(x, np.float32), int(r), bands).astype(np.float32).tolist() for x, r in zip(part["audio"], part["sample_rate"], strict=True)])
+            yield part.assign(features=[make(np.asarray(x, np.float32), int(r), bands).astype(np.float32).tolist() for x, r in zip(part["audio"], part["sample_rate"], strict=True)])
 
     return audio.mapInPandas(run, audio.limit(0).selectExpr("*", "cast(null as array<array<float>>) as features").schema)
 
 
 # Configuration.
 
+#: What a run is configured with unless a document says otherwise.
+DEFAULT_CONFIG = """\
+[data]
+splits = ["train", "dev", "test"]
+include_other = false
+# validation_limit = 100, or a table of limits by language
+
+[preprocessing]
+sample_rate = 16000
+feature_type = "raw"  # or filterbanks, mfcc
+num_filters = 40
+frame_ms = 25
+stride_ms = 10
+
+[batching]
+mode = "frames"  # or utterances
+budget = 40000
+oversampling_factor = 0.5
+
+[decoding]
+beam_width = 1
+n_best = 1
+"""
+
 
 def load_config(spark: SparkSession, path: str) -> dict:
-    """A TOML or JSON document as a dictionary."""
+    """A TOML or JSON document as a dictionary; what it leaves out is as in ``DEFAULT_CONFIG``."""
     body = read_text_file(spark, path)
     return json.loads(body) if path.endswith(".json") else tomllib.loads(body)

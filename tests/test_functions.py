@@ -69,6 +69,26 @@ def test_edit_statistics(spark):
         assert got[i]["d"] == got[i]["c"]
 
 
+def test_distance_of_many_tokens_and_of_nulls(spark):
+    many = [f"w{i}" for i in range(60_000)]
+    rows = [(1, many, [*many[:10], "x", *many[12:]]), (2, ["a", None, "b"], ["a", "b"]), (3, [None], [None]), (4, None, ["a"]), (5, ["\ud7ff", "b"], ["b"])]
+    df = spark.createDataFrame(rows[:1] + rows[1:4], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["d"] for r in df.filter("i > 1").select("i", edit.distance("a", "b").alias("d")).collect()}
+    assert got == {2: 1, 3: 0, 4: None}
+    # 40,000 different tokens, past the surrogates, against a short array
+    wide = spark.createDataFrame([(many[:40_000], many[39_990:40_000])], "a array<string>, b array<string>")
+    assert wide.select(edit.distance("a", "b")).first()[0] == 39_990
+
+
+def test_long_statistics_are_those_of_short_ones(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choices("abc", k=rng.randint(0, 12)), rng.choices("abc", k=rng.randint(0, 12))) for i in range(80)] + [(90, None, ["a"]), (91, ["a"] * 300, ["b"] + ["a"] * 299)]
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
+    short = {r["i"]: r["s"] for r in df.filter("i < 91").select("i", edit.statistics("a", "b").alias("s")).collect()}
+    mixed = {r["i"]: r["s"] for r in df.select("i", edit.any_statistics("a", "b", cells=20).alias("s")).collect()}
+    assert {k: v for k, v in mixed.items() if k < 91} == short and tuple(mixed[91]) == (0, 0, 1, 299)
+
+
 def test_edit_operations_apply(spark):
     df = spark.createDataFrame([(a.split(), b.split()) for a, b, _ in VECTORS] + [(None, ["a"])], "a array<string>, b array<string>")
     for row, (_, _, n) in zip(edit.operations(df, "a", "b").collect(), [*VECTORS, (0, 0, None)], strict=True):
@@ -114,6 +134,10 @@ def test_codes_and_text(spark):
     t = F.col("t")
     assert one(spark, codes.alpha3(t), t="ga-IE") == "gle"
     assert one(spark, codes.macro(t), t="cmn") == "zho"
+    assert one(spark, codes.alpha3(t), t="zu") == "zul" and one(spark, codes.alpha3(t), t="qq") is None
+    assert one(spark, codes.macro(t, {"abc": "xyz"}), t="abc") == "xyz"
+    assert one(spark, codes.standardised(t), t="eng_latn_us") == "en-Latn-US" and one(spark, codes.standardised(t, True), t="cmn-hans") == "zh-Hans"
+    assert one(spark, codes.variant(t), t="ca-ES-valencia") == "ES-valencia" and one(spark, codes.variant(t), t="ca") is None
     assert one(spark, text.without_extension(t), t="clips/a.b.mp3") == "clips/a.b"
     assert one(spark, text.null_if_empty(t), t="") is None
     assert one(spark, text.parsed(t, "{split}_transcriptions.bin"), t="dev_transcriptions.bin")["split"] == "dev"

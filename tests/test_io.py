@@ -112,6 +112,90 @@ def test_audio(spark, tmp_path):
         f.writeframes(np.column_stack([x, x]).tobytes())
     row = sources.features_of(sources.read_audio(spark, str(tmp_path), 16000)).first()
     assert (row["sample_rate"], row["num_samples"]) == (16000, 1600) and len(row["features"][0]) == 40 and len(row["features"]) == 11
+    info = sources.read_audio_info(spark, str(tmp_path)).first()
+    assert tuple(info)[1:] == (8000, 2, 16, 800)
+    for kind in ("filterbanks", "mfcc"):
+        made = np.array(sources.features_of(sources.read_audio(spark, str(tmp_path), 16000), 13, kind).first()["features"])
+        assert made.shape == (11, 13) and np.allclose(made.mean(axis=0), 0, atol=1e-4)
+
+
+def test_resampling_keeps_tones_and_drops_what_does_not_fit():
+    t = np.arange(16000) / 16000
+    low, high = np.sin(2 * np.pi * 500 * t), np.sin(2 * np.pi * 6000 * t)
+    down = sources.resample((low + high).astype(np.float32), 16000, 8000)
+    want = np.sin(2 * np.pi * 500 * np.arange(8000) / 8000)
+    assert len(down) == 8000 and np.abs(down - want)[100:-100].max() < 0.05
+    up = sources.resample(want.astype(np.float32), 8000, 11025)
+    assert len(up) == 11025 and np.abs(up - np.sin(2 * np.pi * 500 * np.arange(11025) / 11025))[100:-100].max() < 0.05
+
+
+def test_cosine_transform_is_orthonormal():
+    x = np.random.default_rng(1).normal(size=4000).astype(np.float32)
+    whole = sources.mfcc(x, 16000, 30, bands=30)
+    power = 10 * np.log10(np.maximum(sources.mel_power(x, 16000, 30), 1e-10))
+    assert np.allclose((whole**2).sum(axis=1), (np.maximum(power, power.max() - 80) ** 2).sum(axis=1))
+
+
+def test_rows_are_numbered_as_in_the_file(spark, tmp_path):
+    d = tmp_path / "cv" / "de"
+    d.mkdir(parents=True)
+    (d / "train.tsv").write_text(HEADER + "".join(clip(f"t{i}", 2, 0, tail="\t\t\t\tde\t") for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        rows = sources.read_clips(spark, str(tmp_path / "cv"), ["train"])
+        assert rows.rdd.getNumPartitions() > 1
+        assert all(r["path"] == f"t{r['pos']}.mp3" for r in rows.select("path", "pos").collect())
+        few = sources.read_clips(spark, str(tmp_path / "cv"), ["train"], limit=700)
+        assert sorted(r["pos"] for r in few.collect()) == list(range(700))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_default_configuration(spark, tmp_path, capsys):
+    from phonora.__main__ import main
+
+    main(["config"])
+    assert capsys.readouterr().out == sources.DEFAULT_CONFIG
+    main(["config", str(tmp_path / "c.toml")])
+    assert sources.load_config(spark, str(tmp_path / "c.toml"))["preprocessing"]["sample_rate"] == 16000
+    with pytest.raises(FileExistsError):
+        main(["config", str(tmp_path / "c.toml")])
+
+
+def test_release_meta_over_http(spark):
+    import http.server
+    import threading
+
+    class Reply(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"name": "v", "locales": {"de": {"clips": 3}}}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Reply)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    row = sources.locales(sources.read_release_meta(spark, f"http://127.0.0.1:{server.server_port}/m.json")).first()
+    server.server_close()
+    assert row["locale"] == "de" and row["clips"] == 3
+
+
+def test_engines(tmp_path, monkeypatch):
+    assert g2p.clean_phones(["ʲ", "a", "S", "t͡s", "ʲ"]) == ["ʲa", "ʃ", "ts", "ʲ"]
+    fake = tmp_path / "espeak-ng"
+    fake.write_text("#!/bin/sh\nif [ \"$1\" = --voices ]; then printf 'Pty Language\\n 5 de --/M German x\\n 5 en-us --/M English y\\n'; else printf ' h_ˈa_l_oː (en)_j_ɛ_s_(de)_n_t͡s'; fi\n")
+    fake.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    assert g2p.Espeak.supports("de") and g2p.Espeak.voice_of("en") == "en-us" and not g2p.Espeak.supports("fr")
+    engine = g2p.Espeak("de", ["h", "a", "l", "oː", "j", "ɛ", "s", "n", "ts"])
+    assert engine.process(["hallo"]) == [[(["h", "a", "l", "oː"], None), (["j", "ɛ", "s"], "en"), (["n", "ts"], None)]]
+    loud = g2p.Espeak("de", ["h", "a"], before=None, after=lambda s: [x.upper() for x in s])
+    assert loud.process(["hallo"]) == [[(["H", "A"], None)]]
+    monkeypatch.setenv("PATH", "")
+    assert not g2p.Espeak.supports("de") and g2p.Epitran.supports("de") in (False, True)
 
 
 def test_transcribe_predict_decode(spark, tmp_path):
