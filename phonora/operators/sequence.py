@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,30 +46,40 @@ def ctc_greedy_array(emissions: Column, length: Column, blank: int = 0) -> Colum
 
 
 def ctc_beam(log_probs: list[list[float]], tokens: Sequence[str], width: int = 1, n_best: int = 1, blank: int = 0) -> list[tuple[list[str], float]]:
-    """Prefix beam search over one utterance: the ``n_best`` token lists with their log probabilities."""
-    import math
-
-    ninf = -math.inf
-    add = lambda *x: ninf if max(x) == ninf else max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
-    beams: dict[tuple, tuple[float, float]] = {(): (0.0, ninf)}
-    for row in log_probs:
-        new: dict[tuple, list[float]] = {}
-        for prefix, (b, n) in beams.items():
-            for c, p in enumerate(row):
-                if c == blank:
-                    got = new.setdefault(prefix, [ninf, ninf])
-                    got[0] = add(got[0], b + p, n + p)
-                elif prefix and prefix[-1] == c:
-                    got = new.setdefault(prefix, [ninf, ninf])
-                    got[1] = add(got[1], n + p)
-                    got = new.setdefault((*prefix, c), [ninf, ninf])
-                    got[1] = add(got[1], b + p)
-                else:
-                    got = new.setdefault((*prefix, c), [ninf, ninf])
-                    got[1] = add(got[1], b + p, n + p)
-        beams = {k: (v[0], v[1]) for k, v in sorted(new.items(), key=lambda kv: (-add(*kv[1]), kv[0]))[: max(width, n_best)]}
-    ranked = sorted(beams.items(), key=lambda kv: (-add(*kv[1]), kv[0]))[:n_best]
-    return [([tokens[c] for c in prefix], add(*v)) for prefix, v in ranked]
+    """Prefix beam search over one utterance: the ``n_best`` token lists with their log probabilities.
+
+    A frame is one step in numpy over all prefixes and classes.  Equal scores go by the prefix.
+    """
+    keep = max(width, n_best)
+    prefixes: list[tuple[int, ...]] = [()]
+    ends_blank, ends_token = np.zeros(1), np.full(1, -np.inf)  # of paths that end in a blank, or in the last token
+    for row in np.asarray(log_probs, float):
+        n, total = len(prefixes), np.logaddexp(ends_blank, ends_token)
+        last = np.array([p[-1] if p else blank for p in prefixes])
+        some = np.flatnonzero([bool(p) for p in prefixes])
+        longer = total[:, None] + row[None, :]
+        longer[some, last[some]] = ends_blank[some] + row[last[some]]  # a token is repeated over a blank only
+        longer[:, blank] = -np.inf
+        stay_blank, stay_token = total + row[blank], np.full(n, -np.inf)
+        stay_token[some] = ends_token[some] + row[last[some]]
+        place = {p: i for i, p in enumerate(prefixes)}
+        for j in some.tolist():
+            i = place.get(prefixes[j][:-1])
+            if i is not None:  # the prefix also arises from a shorter one of the beam
+                stay_token[j] = np.logaddexp(stay_token[j], longer[i, last[j]])
+                longer[i, last[j]] = -np.inf
+        scores = np.concatenate([np.logaddexp(stay_blank, stay_token), longer.ravel()])
+        cut = np.partition(scores, -keep)[-keep] if len(scores) > keep else -np.inf
+        found = np.flatnonzero((scores >= cut) & (scores > -np.inf)).tolist()
+        named = [(-scores[k], prefixes[k] if k < n else (*prefixes[(k - n) // len(row)], (k - n) % len(row)), k) for k in found]
+        chosen = sorted(named)[:keep]
+        at = np.array([k for _, _, k in chosen])
+        old = at < n
+        ends_blank = np.where(old, stay_blank[np.minimum(at, n - 1)], -np.inf)
+        ends_token = np.where(old, stay_token[np.minimum(at, n - 1)], scores[at])
+        prefixes = [p for _, p, _ in chosen]
+    ranked = sorted(zip(-np.logaddexp(ends_blank, ends_token), prefixes, strict=True))[:n_best]
+    return [([tokens[c] for c in p], float(-s)) for s, p in ranked]
 
 
 def beam_decoder(tokens: Sequence[str], width: int = 1, n_best: int = 1, blank: int = 0):

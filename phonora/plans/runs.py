@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonora import sinks, sources
-from phonora.functions import g2p, text
+from phonora.functions import g2p, numeric, text
 from phonora.operators import corpus, evaluate, inventory, nearest, remap, sequence, vocabulary
 
 
@@ -29,13 +29,19 @@ def phones(table: DataFrame, features: Sequence[str], phoneme: str = "Phoneme")
 
 
 def source_maps(inventories: DataFrame, target: DataFrame) -> DataFrame:
-    """(language, source, target) by the two-phase scheme for each language of (lang, phonemes)."""
-    out = None
-    for row in inventories.collect():  # a dimension: one row per language
-        own = target.filter(F.col("phoneme").isin(row["phonemes"]))
-        one = nearest.two_phase(target, own).withColumn("language", F.lit(row["lang"]))
-        out = one if out is None else out.unionByName(one)
-    return out.select("language", "source", "target")
+    """(language, source, target): every phone of ``target`` to itself where a language of (lang, phonemes) has it, else
+    to the nearest that it has; the first by position wins ties.
+
+    This is the two-phase scheme: as a language's phones are some of ``target``, the first phase covers all of them.
+    One plan for all languages, whose inventories reach the phones as one array.
+    """
+    own = inventories.select("lang", F.explode("phonemes").alias("_p")).distinct().join(target, F.col("_p") == F.col("phoneme"))
+    own = own.groupBy("lang").agg(F.collect_list(F.struct("pos", "phoneme", "features")).alias("phones"))
+    every = own.agg(F.collect_list(F.struct("lang", "phones"))).scalar()
+    rows = target.select(F.col("phoneme").alias("source"), F.col("features").alias("_own"), F.explode(every).alias("_l"))
+    one = lambda t: F.struct((t["phoneme"] != F.col("source")).alias("other"), numeric.hamming(F.col("_own"), t["features"]).alias("distance"), t["pos"].alias("pos"), t["phoneme"].alias("phoneme"))
+    best = F.array_min(F.transform("_l.phones", one))
+    return rows.select(F.col("_l.lang").alias("language"), "source", best["phoneme"].alias("target"))
 
 
 def evaluate_file(spark: SparkSession, path: str, table: DataFrame, features: Sequence[str], output: str | None = None, split_complex: bool = False, use_maps: bool = False) -> DataFrame:
@@ -112,8 +118,6 @@ def decode(emissions: DataFrame, tokens: Sequence[str], width: int = 1, n_best:
 
 def frame_lengths(rows: DataFrame, sample_rate: int, stride: int | None) -> DataFrame:
     """(split, lang, pos, length) from (…, duration_s, sample_rate) of audio headers."""
-    from phonora.functions import numeric
-
     samples = numeric.resampled_length(F.col("duration_s"), F.col("sample_rate"), sample_rate)
     return rows.select("split", "lang", "pos", numeric.frame_count(samples, stride).cast("long").alias("length"))
 

@@ -174,6 +174,42 @@ def test_ctc(spark):
     assert sequence.ctc_beam(sharp, ["_", "x", "y", "z"], width=4)[0][0] == ["z", "z", "y"]
 
 
+def test_beam_search_against_all_paths():
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(2)
+    for n, classes in ((1, 3), (3, 3), (5, 3), (4, 4)):
+        frames = []
+        for _ in range(n):
+            x = [rng.random() + 0.05 for _ in range(classes)]
+            frames.append([math.log(v / sum(x)) for v in x])
+        sums: dict = {}
+        for path in itertools.product(range(classes), repeat=n):
+            key = tuple(c for c, _ in itertools.groupby(path) if c)
+            sums[key] = sums.get(key, 0.0) + math.exp(sum(f[c] for f, c in zip(frames, path, strict=True)))
+        want = sorted(sums.items(), key=lambda kv: (-kv[1], kv[0]))[:4]
+        got = sequence.ctc_beam(frames, list("_xyz"[:classes]), width=1000, n_best=4)
+        assert [t for t, _ in got] == [["_xyz"[c] for c in k] for k, _ in want]
+        assert [s for _, s in got] == pytest.approx([math.log(v) for _, v in want])
+    assert sequence.ctc_beam([], ["_"], 2)[0] == ([], 0.0)
+
+
+def test_source_maps_are_the_two_phase_scheme(spark):
+    import random
+
+    from phonora.plans import runs
+
+    rng = random.Random(6)
+    every = phones(spark, [(f"p{i}", rng.choices("01", k=6)) for i in range(25)])
+    own = {"aa": ["p3", "p7", "p20"], "bb": ["p1"], "cc": [f"p{i}" for i in range(0, 25, 2)]}
+    inventories = spark.createDataFrame([(k, v) for k, v in own.items()], "lang string, phonemes array<string>")
+    got = {(r["language"], r["source"]): r["target"] for r in runs.source_maps(inventories, every).collect()}
+    want = {(k, r["source"]): r["target"] for k, v in own.items() for r in nearest.two_phase(every, every.filter(F.col("phoneme").isin(v))).collect()}
+    assert got == want
+
+
 def test_batches_and_sampling(spark):
     lengths = [5, 3, 9, 1, 1, 20, 2]
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate(lengths)], "g string, i int, n int")
