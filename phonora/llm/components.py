@@ -2,7 +2,8 @@
 
 Each round contracts edges inside every task with a local union-find and then applies one
 large-star and one small-star step (Kiveris et al., "Connected Components in MapReduce and
-Beyond", 2014).  Edges never leave the cluster; only a row count and a checksum reach the driver.
+Beyond", 2014).  Edges never leave the cluster; only counts and a checksum reach the driver.  A task
+contracts a bounded number of edges, so few edges take few tasks and fewer rounds.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phonora.llm.common import durable
 
-#: Edges that one local union-find holds at a time.
-CHUNK = 500_000
+#: Edges that one local union-find holds at a time, and edges that make a task of a round.
+CHUNK, SHARE = 500_000, 100_000
 #: Neighbours from which a node is a hub, and hubs whose smallest neighbours are broadcast; beyond, they are shuffled.
 HUB, BROADCAST_HUBS = 512, 1_000_000
 
@@ -67,32 +69,35 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+    """(edges, checksum, most edges of one root)."""
+    roots = edges.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+    row = roots.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    return row["n"], row["s"], row["most"]
 
 
-def _with_lowest(both: DataFrame, hub: int) -> DataFrame:
+def _with_lowest(both: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """The rows of ``both`` with b > a, and with the smallest of ``a`` and its neighbours as low.
 
-    The rows of a hub stay where they are and get its minimum by broadcast; the number of hubs is checked first.
+    The rows of ``hubs``, whose number has been checked, stay where they are and get their minima by broadcast.
     """
-    low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select(F.col("a").alias("at"), F.least("a", "low").alias("low"), "n")
+    lowest = lambda rows: rows.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("at"), F.least("a", "low").alias("low"))
     above, same = both.filter("b > a"), F.col("a") == F.col("at")
-    hubs = low.filter(F.col("n") > hub)
-    n_hubs = hubs.limit(BROADCAST_HUBS + 1).count()
-    if not n_hubs or n_hubs > BROADCAST_HUBS:
-        return above.join(low.drop("n"), same)
-    hubs = F.broadcast(durable(hubs.drop("n")))
-    return above.join(hubs, same, "left_anti").join(low.drop("n"), same).unionByName(above.join(hubs, same))
+    if hubs is None:
+        return above.join(lowest(both), same)
+    hubs = F.broadcast(hubs)
+    of_hubs = F.broadcast(lowest(both.join(hubs, F.col("a") == F.col("hub"), "left_semi")))
+    rest = both.join(hubs, F.col("a") == F.col("hub"), "left_anti")
+    return rest.filter("b > a").join(lowest(rest), same).unionByName(above.join(of_hubs, same))
 
 
-def _stars(edges: DataFrame, hub: int) -> DataFrame:
+def _stars(edges: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """One large-star and one small-star step over edges with a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    large = _with_lowest(both, hub).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at")
-    small = large.join(low, F.col("a") == F.col("at")).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return small.unionByName(low.select(F.col("at").alias("a"), F.col("low").alias("b"))).distinct()
+    large = _with_lowest(both, hubs).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    # A node has one root for each task that contracted its edges, so no window is large.
+    small = large.withColumn("low", F.min("b").over(W.partitionBy("a")))
+    ends = F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b"))))
+    return small.select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60, hub: int = HUB) -> DataFrame:
@@ -100,15 +105,21 @@ def components(edges: DataFrame, max_rounds: int = 60, hub: int = HUB) -> DataFr
 
     Self-loops and repeated edges have no effect; an empty table gives an empty result.
     """
+    contracted = lambda df: durable(df.mapInArrow(_contract, "a long, b long"))
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = durable(edges.distinct().mapInArrow(_contract, "a long, b long"))
+    edges = contracted(edges.distinct())
     before = _signature(edges)
-    if not before[0]:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(max_rounds):
-        edges = durable(_stars(edges, hub).mapInArrow(_contract, "a long, b long"))
+    for _ in range(max_rounds if before[0] else 0):
+        hubs = None
+        if before[2] > hub:
+            hubs = durable(edges.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("hub"))
+            hubs = hubs if hubs.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS else None
+        edges = contracted(_stars(edges, hubs).coalesce(before[0] // SHARE + 1))
         after = _signature(edges)
         if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         before = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    else:
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

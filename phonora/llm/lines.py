@@ -186,14 +186,17 @@ class Shingled:
         offsets = np.cumsum(count) - count
         codes[(begin + size)[:, None] + np.arange(SHINGLE)] = 0x110000  # no character, unlike zero
         at = np.repeat(begin - offsets, count) + np.arange(count.sum())
-        alphabet, letter = np.unique(codes, return_inverse=True)
-        # a shingle of eight letters is a number in base len(alphabet); where that overflows, two halves are numbered
-        high = _numbers(letter, SHINGLE, len(alphabet)) if len(alphabet) <= 255 else _halves(letter, len(alphabet))
-        _, key = np.unique(high[at], return_inverse=True)
-        self.kinds = int(key.max()) + 1
-        pairs = np.unique(np.repeat(np.arange(len(texts)), count) * self.kinds + key)
-        self.of, self.key = pairs // self.kinds, (pairs % self.kinds).astype(np.int32)
-        self.size = np.bincount(self.of, minlength=len(texts))
+        used = np.zeros(0x110001, bool)
+        used[codes] = True
+        letters = int(used.sum())
+        letter = (np.cumsum(used) - 1)[codes]
+        # eight letters are a number in base ``letters``; where that may overflow, parts are numbered
+        high = _numbers(letter, SHINGLE, letters) if letters <= 255 else _parts(letter)
+        self.kinds, key = _numbered(high[at])
+        pairs = np.sort(np.repeat(np.arange(len(texts)), count) * self.kinds + key)
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+        of, self.key = pairs // self.kinds, (pairs % self.kinds).astype(np.int32)
+        self.size = np.bincount(of, minlength=len(texts))
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
         self._flag = np.zeros(self.kinds, np.int32)
@@ -223,16 +226,25 @@ def _numbers(letter: np.ndarray, n: int, base: int) -> np.ndarray:
     return h
 
 
-def _halves(letter: np.ndarray, base: int) -> np.ndarray:
-    """The same for any alphabet: letters, then twos, fours and eights are numbered anew."""
-    h, step = letter.astype(np.int64), 1
+def _parts(letter: np.ndarray) -> np.ndarray:
+    """The same for any alphabet: twos, fours and eights of letters are numbered anew."""
+    h, step = letter, 1
     while step < SHINGLE:
         pair = h[:-step] * (int(h.max()) + 1) + h[step:]
-        _, h = np.unique(np.append(pair, np.full(step, -1)), return_inverse=True)
+        _, h = _numbered(np.append(pair, np.full(step, -1)))
         step *= 2
     return h
 
 
+def _numbered(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many different values there are, and the number of each among them."""
+    order = np.argsort(x)
+    values = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.append(False, values[1:] != values[:-1]))
+    return int(out[order[-1]]) + 1, out
+
+
 def _similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return both >= similarity * (a + b - both) - 1e-9
 
@@ -344,7 +356,7 @@ def _where(place: str, name: str) -> Column:
     return (F.col("name") == F.col(name)) & F.col("doc_id").eqNullSafe(at("doc_id")) & (F.col("text_hash") == at("text_hash")) & (F.col("pos") == at("pos"))
 
 
-def _meetings(found: DataFrame, tile: int) -> DataFrame:
+def _meetings(found: DataFrame) -> DataFrame:
     """(set, pair, line): lines to compare within equal (set, pair).  A hot set's tiles are apart, its centres in each."""
     cold = found.filter("not hot").select("set", F.lit(0).cast("long").alias("pair"), "line")
     hot = found.filter("hot")
@@ -382,8 +394,8 @@ def found_sets(docs: DataFrame, tile: int = TILE) -> DataFrame:
     return durable(rows)
 
 
-def links(found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between different lines, by name, that connect all verified pairs of the sets ``found``.
+def line_roots(found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(node, root): components over all verified pairs of the sets ``found``, lines by name, without the roots.
 
     ``texts``: (name, text) of every line of the sets.
     """
@@ -393,13 +405,15 @@ def links(found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, ti
         groups = met.join(texts, F.col("line") == F.col("name")).select("set", "pair", "line", "text")
         return groups.repartition("set", "pair").sortWithinPartitions("set", "pair").mapInArrow(_verify(similarity), "a long, b long")
 
-    first = verified(_meetings(found, tile))
+    part = components(verified(_meetings(found)))
     hot = found.filter("hot")
     if not hot.limit(1).count():
-        return first
-    part = components(first)
+        return part
     labels = part.unionByName(part.select(F.col("root").alias("node"), "root").distinct())
-    return part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(_across(hot, labels, tile)))
+    more = durable(verified(_across(hot, labels, tile)))
+    if not more.limit(1).count():
+        return part
+    return components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -420,7 +434,7 @@ def lost_lines(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE
     texts = _lines(docs).join(wanted, _where("place", "_name")).select("name", F.col("line").cast("binary").alias("text")).dropDuplicates(["name"])
     if found.filter("hot").limit(1).count():
         texts = durable(texts)  # read twice
-    roots_ = components(links(found, texts, similarity, tile))
+    roots_ = line_roots(found, texts, similarity, tile)
     member = roots_.unionByName(roots_.select(F.col("root").alias("node"), "root").distinct())
     first = named.join(member, F.col("name") == F.col("node"), "left").filter("n > 1 or root is not null").select("name", F.coalesce("root", "name").alias("root"), "place")
     first = durable(first)
