@@ -70,11 +70,16 @@ class Model:
     #: Share of the different n-grams that training has seen, of all but one in a hundred texts.
     usual: float = 0.0
 
+    def __post_init__(self) -> None:
+        self.seen = self.idf < self.idf.max(initial=0.0)
+
     def known(self, hashed: np.ndarray) -> float:
         """Share of the different n-grams of a text that training has seen, with three standard errors to the good."""
-        hashed = np.unique(hashed)
-        p = float((self.idf[hashed] < self.idf.max()).mean())
-        return p + 3 * np.sqrt((p * (1 - p) + 0.25 / len(hashed)) / len(hashed))
+        there = np.zeros(1 << BITS, bool)
+        there[hashed] = True
+        n = int(there.sum())
+        p = float((there & self.seen).sum()) / n
+        return p + 3 * np.sqrt((p * (1 - p) + 0.25 / n) / n)
 
     def features(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.bincount(hashed, minlength=1 << BITS)
@@ -125,8 +130,11 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 0.5, beta
         return model
     seen = np.zeros(size)
     for h, _ in rows:
-        seen[np.unique(h)] += 1
+        there = np.zeros(size, bool)
+        there[h] = True
+        seen += there
     model.idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    model.seen = seen > 0
     data = [(*model.features(h), languages.index(lang)) for h, lang in rows]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
