@@ -854,3 +854,33 @@ def test_pipeline(spark, tmp_path):
     want = {i: t for i, t in kept if i in groups and not slow_contamination(t, [(1, bench_text)])[4]}
     assert {i: r["text"] for i, r in rows.items()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "SimHash near-dedup", "benchmark decontamination", "SentencePiece encoding and decoding"]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import sys
+
+    sys.path.insert(0, ROOT)
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:6] == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from phonora.llm import common
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda *a: folder)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None), conf=conf)
+
+    assert common.shared_folder(session("spark://host:7077", "s3://folder")) == "s3://folder"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(session("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(session("local-cluster[3,2,1024]"))
+    assert os.path.isdir(common.shared_folder(session("local[4]")))
