@@ -21,7 +21,7 @@ from phonora.llm.common import durable
 #: Edges that one local union-find holds at a time, and edges that make a task of a round.
 CHUNK, SHARE = 500_000, 100_000
 #: Neighbours from which a node is a hub, and hubs whose smallest neighbours are broadcast; beyond, they are shuffled.
-HUB, BROADCAST_HUBS = 512, 1_000_000
+HUB, BROADCAST_HUBS = 64, 1_000_000
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +49,11 @@ def features(words: Counter) -> Counter:
     return out
 
 
+def _is_letter(c: str) -> bool:
+    """Whether a character can be part of a word, as ``_WORD`` has it."""
+    return c.isalnum() and not c.isdecimal()
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -57,20 +63,30 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
 
-    def __post_init__(self) -> None:
-        self.words = {k: v for k, v in self.weights.items() if not k.endswith("*")}
-        self.starts = {k: {w[:-1]: v for w, v in self.weights.items() if w.endswith("*") and len(w) == k + 1} for k in BEGINNINGS}
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "thresholds": self.thresholds}
+
+    def _finder(self) -> ahocorasick.Automaton:
+        """All learned features at once: (characters, feature as a word, feature as a beginning) of each text."""
+        found = self.__dict__.get("finder")
+        if found is None:
+            found = self.__dict__["finder"] = ahocorasick.Automaton()
+            for name in {f.rstrip("*") for f in self.weights}:
+                found.add_word(name, (len(name), name if name in self.weights else None, f"{name}*" if f"{name}*" in self.weights else None))
+            found.make_automaton()
+        return found
 
     def raw(self, text: str) -> float:
-        words = counted(text)
-        total = sum(self.words[w] * (1 + math.log(words[w])) for w in words.keys() & self.words.keys())
-        for k, known in self.starts.items():
-            found: Counter = Counter()
-            for w, n in words.items():
-                if len(w) > k and (s := w[:k]) in known:
-                    found[s] += n
-            total += sum(known[s] * (1 + math.log(n)) for s, n in found.items())
-        return total
+        """Weighted logarithmic counts of the learned features, found in one pass over the text."""
+        if not self.weights:
+            return 0.0
+        low, counts = text.lower(), {}
+        for end, (size, word, beginning) in self._finder().iter(low):
+            if end < size or not _is_letter(low[end - size]):
+                f = beginning if end + 1 < len(low) and _is_letter(low[end + 1]) else word
+                if f is not None:
+                    counts[f] = counts.get(f, 0) + 1
+        return sum(self.weights[f] * (1 + math.log(n)) for f, n in counts.items())
 
     def predict(self, text: str | None) -> tuple[float, float, int]:
         """Expected severity, probability of a grade above 0, and the likeliest grade."""
@@ -120,22 +136,29 @@ def train(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 0.2, l1:
     toxic = np.array([int(y > 0) for _, y in rows])
     if not len(rows) or toxic.min() == toxic.max():
         return Model()
-    seen, bad = Counter(), Counter()
-    for (text, _), y in zip(rows, toxic, strict=True):
-        found = features(counted(text)).keys()
-        seen.update(found)
-        if y:
-            bad.update(found)
+    index: dict[str, int] = {}
+    found = []  # the features of each text by number, and how often they occur
+    for text, _ in rows:
+        x = features(counted(text))
+        found.append((np.array([index.setdefault(k, len(index)) for k in x], np.int32), np.fromiter(x.values(), np.int32, len(x))))
+    seen, bad = (np.bincount(np.concatenate([x for (x, _), y in zip(found, toxic, strict=True) if y >= least] or [np.zeros(0, np.int32)]), minlength=len(index)) for least in (0, 1))
     n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
-    lift = {k: math.log((bad[k] + 0.5) / (n_bad + 1)) - math.log((n - bad[k] + 0.5) / (n_good + 1)) for k, n in seen.items() if n >= LEAST}
-    spread = {k: math.sqrt(1 / (bad[k] + 0.5) + 1 / (seen[k] - bad[k] + 0.5)) for k in lift}
-    names = sorted(k for k, v in lift.items() if abs(v) > LIFT and abs(v) > SURE * spread[k])
-    index = {k: i for i, k in enumerate(names)}
-    marks = {k for k in names if lift[k] > 0}
+    good = seen - bad
+    lift = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    spread = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    strong = np.flatnonzero((seen >= LEAST) & (np.abs(lift) > LIFT) & (np.abs(lift) > SURE * spread))
+    of = list(index)
+    place = {of[i]: i for i in strong.tolist()}
+    names = sorted(place)
+    number = np.full(len(index), -1)
+    number[[place[k] for k in names]] = np.arange(len(names))
+    marks = {k for k in names if lift[place[k]] > 0}
     load, sparse = np.zeros(len(rows)), []
-    for i, (text, _) in enumerate(rows):  # counted again: the counters of all rows would fill the driver
-        x = {k: n for k, n in features(counted(text)).items() if k in index}
-        sparse.append((np.array([index[k] for k in x], np.int64), np.array([1 + math.log(n) for n in x.values()])))
+    for i, (at, counts) in enumerate(found):
+        own = number[at] >= 0
+        at, counts = number[at[own]], counts[own]
+        sparse.append((at, 1 + np.log(counts)))
+        x = {names[k]: n for k, n in zip(at.tolist(), counts.tolist(), strict=True)}
         # a word counts once, by its shortest mark
         load[i] = sum(n for k, n in x.items() if k in marks and not any(k[:j] + "*" in marks for j in BEGINNINGS if j < len(k.rstrip("*"))))
     cut = np.quantile(load[toxic == 1], [i / (GRADES - 1) for i in range(1, GRADES - 1)])

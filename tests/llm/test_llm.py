@@ -739,6 +739,16 @@ def test_probabilities_are_ordered():
     assert s == pytest.approx(sum(above)) and p == pytest.approx(above[0]) and m.raw("bad words") == pytest.approx(3.5) and 0 <= g < 4
 
 
+def test_features_are_found_as_they_are_counted():
+    rng = random.Random(8)
+    m = toxicity.Model({"bad": 2.0, "word*": 1.5, "word": -1.0, "wordy*": 0.5, "ünïc*": 0.7, "ba": 0.3, "²x": 0.2}, [0.5])
+    bits = ["bad", "word", "wordy", "wordyx", "ba", "ünïcd", "Bad", "WORDS", " ", " ", "_", "1", "²x", "x", "-", "Σ", "İ"]
+    for _ in range(500):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        want = sum(m.weights[f] * (1 + np.log(n)) for f, n in toxicity.features(toxicity.counted(text)).items() if f in m.weights)
+        assert m.raw(text) == pytest.approx(want), text
+
+
 # 4. PII.
 
 
