@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def build_session(app: str = "phonora", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC and ANSI semantics; cluster settings are left to the cluster."""
+    """A session with adaptive execution, UTC, ANSI semantics and checkpoints that go when unused; cluster settings are left to the cluster."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -18,6 +18,7 @@ def build_session(app: str = "phonora", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.ansi.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     return builder.config(map={**defaults, **conf}).getOrCreate()
 
