@@ -86,9 +86,14 @@ class Index:
         p = self.x @ self.a
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(p, self.order.T, axis=0).T.copy()
+        self.rows = list(self.sorted)
         #: Vectors verified so far, over all queries.
         self.verified = 0
 
+    def _places(self, at: np.ndarray, side: str) -> np.ndarray:
+        """Where the values belong in the sorted projections."""
+        return np.array([row.searchsorted(v, side) for row, v in zip(self.rows, at, strict=True)])
+
     def _first_width(self, at: np.ndarray, place: np.ndarray) -> float:
         """Median over the projections of the half width that holds a share of the block around the query."""
         n = len(self.ids)
@@ -114,16 +119,19 @@ class Index:
     def _nearest(self, qid: int, q: np.ndarray, at: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.ids)
         count, seen = np.zeros(n, np.int64), self.ids == qid  # own rows take no places
-        low = high = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(PROJECTIONS)])
+        low = high = self._places(at, "left")
         near, d, width = np.zeros(0, np.int64), np.zeros(0), min(self._first_width(at, low), max(_REACH * bound, 1e-12))
         first = math.isinf(bound)
         while True:
-            new_low = np.array([np.searchsorted(self.sorted[j], at[j] - width, "left") for j in range(PROJECTIONS)])
-            new_high = np.array([np.searchsorted(self.sorted[j], at[j] + width, "right") for j in range(PROJECTIONS)])
-            parts = [self.order[j, a:b] for j in range(PROJECTIONS) for a, b in ((new_low[j], low[j]), (high[j], new_high[j])) if a < b]
-            if parts:
-                count += np.bincount(np.concatenate(parts), minlength=n)
-            low, high = np.minimum(low, new_low), np.maximum(high, new_high)
+            new_low, new_high = np.minimum(low, self._places(at - width, "left")), np.maximum(high, self._places(at + width, "right"))
+            inside = int((new_high - new_low).sum())
+            if PROJECTIONS * n - inside < inside - int((high - low).sum()):  # fewer lie outside than are new inside
+                parts = [x for j in range(PROJECTIONS) for x in (self.order[j, : new_low[j]], self.order[j, new_high[j] :])]
+                count = PROJECTIONS - np.bincount(np.concatenate(parts), minlength=n)
+            else:
+                parts = [x for j in range(PROJECTIONS) for x in (self.order[j, new_low[j] : low[j]], self.order[j, high[j] : new_high[j]])]
+                count = count + np.bincount(np.concatenate(parts), minlength=n)
+            low, high = new_low, new_high
             fresh = (count >= COLLISIONS) & ~seen
             if first:  # the vectors of most collisions give a first idea of the k-th distance
                 some = min(n, max(2 * k, n // SEEDS))
