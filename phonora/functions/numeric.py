@@ -43,8 +43,14 @@ def conv_chain(lengths: Column, layers: Sequence[tuple[int, int]], use_padding:
 
 
 def resampled_length(duration_s: Column, sample_rate: Column, target: int) -> Column:
-    """Samples after resampling, rounded up."""
-    return F.ceil(F.lit(target) * duration_s * sample_rate / sample_rate)
+    """Samples after resampling, rounded up.
+
+    A signal has whole samples, so what the duration as a double misses of them is put right before rounding up.
+    """
+    samples = duration_s * sample_rate.cast("double")
+    whole = F.rint(samples)
+    samples = F.when(F.abs(samples - whole) <= samples * 1e-15, whole).otherwise(samples)
+    return F.ceil(F.lit(target) * samples / sample_rate)
 
 
 def log_compression(x: Column) -> Column:

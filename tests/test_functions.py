@@ -144,3 +144,11 @@ def test_codes_and_text(spark):
     offered = codes.code_map(spark, ["zh-TW", "en-us", "en-gb"], {"en": "en-us"})
     asked = spark.createDataFrame([("en",), ("cmn",), ("xx",), ("en-gb",)], "c string")
     assert {r["c"]: r["resolved"] for r in codes.resolve(asked, "c", offered).collect()} == {"en": "en-us", "cmn": "zh-TW", "xx": None, "en-gb": "en-gb"}
+
+
+def test_resampled_lengths_of_whole_samples(spark):
+    n = F.col("id")  # hardly any duration is a double, but all signals have whole samples
+    for rate, target in ((8000, 16000), (44100, 16000), (22050, 48000), (49, 7)):
+        wrong = numeric.resampled_length(n / F.lit(float(rate)), F.lit(rate), target) != F.expr(f"(id * {target} + {rate - 1}) div {rate}")
+        assert spark.range(1, 20000).filter(wrong).count() == 0
+    assert one(spark, numeric.resampled_length(F.col("s"), F.lit(10), 10), s=0.51) == 6  # of a duration between two samples the rest counts
