@@ -3,7 +3,8 @@
 Each round contracts edges inside every task with a local union-find and then applies one
 large-star and one small-star step (Kiveris et al., "Connected Components in MapReduce and
 Beyond", 2014).  Edges never leave the cluster; only counts and a checksum reach the driver.  A task
-contracts a bounded number of edges, so few edges take few tasks and fewer rounds.
+contracts a bounded number of edges, so few edges take few tasks and fewer rounds; what one local
+union-find holds takes one task and no round.
 """
 
 from __future__ import annotations
@@ -100,16 +101,25 @@ def _stars(edges: DataFrame, hubs: DataFrame | None) -> DataFrame:
     return small.select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60, hub: int = HUB) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, hub: int = HUB, whole: int = CHUNK) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots: root is the smallest node reachable.
 
-    Self-loops and repeated edges have no effect; an empty table gives an empty result.
+    Self-loops and repeated edges have no effect; an empty table gives an empty result.  Up to ``whole`` edges,
+    ``CHUNK`` at most, are contracted by one task, which settles them: rounds would put far more on the driver
+    than on that task.
     """
+    if whole > CHUNK:
+        raise ValueError(f"a task contracts {CHUNK} edges at most")
     contracted = lambda df: durable(df.mapInArrow(_contract, "a long, b long"))
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = contracted(edges.distinct())
+    settled = lambda: edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    n = edges.count()
+    if n <= whole:
+        edges = contracted(edges.coalesce(1)) if n else edges
+        return settled()
     before = _signature(edges)
-    for _ in range(max_rounds if before[0] else 0):
+    for _ in range(max_rounds):
         hubs = None
         if before[2] > hub:
             hubs = durable(edges.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("hub"))
@@ -118,8 +128,10 @@ def components(edges: DataFrame, max_rounds: int = 60, hub: int = HUB) -> DataFr
         after = _signature(edges)
         if after == before:
             break
+        if after[0] <= whole:
+            edges = contracted(edges.coalesce(1))
+            break
         before = after
     else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return settled()

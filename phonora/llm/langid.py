@@ -8,6 +8,7 @@ the size of that part, as a part without an error does not prove that there are
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,6 +61,13 @@ def ngrams(text: str) -> np.ndarray | None:
     return ((h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)) >> np.uint32(32 - BITS)
 
 
+def counted(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text and how often each occurs, in few bytes."""
+    counts = np.bincount(hashed, minlength=1 << BITS)
+    at = np.flatnonzero(counts)
+    return at.astype(np.min_scalar_type((1 << BITS) - 1)), counts[at].astype(np.uint32)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -82,10 +90,12 @@ class Model:
         return p + 3 * np.sqrt((p * (1 - p) + 0.25 / n) / n)
 
     def features(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.bincount(hashed, minlength=1 << BITS)
-        at = np.flatnonzero(counts)
-        x = (1 + np.log(counts[at])) * self.idf[at]
-        return at.astype(np.int32), (x / np.sqrt((x * x).sum())).astype(np.float32)
+        at, counts = counted(hashed)
+        return at, self.weighted(at, counts)
+
+    def weighted(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        x = (1 + np.log(counts.astype(np.int64))) * self.idf[at]
+        return (x / np.sqrt((x * x).sum())).astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         hashed = ngrams(text) if text else None
@@ -106,36 +116,41 @@ class Model:
         return lang != UNKNOWN and p >= reject_below and self.known(hashed) >= REJECT_KNOWN * self.usual
 
 
-def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of up to about ``rows`` labelled training rows of each language and ``ROWS`` of all, chosen by a hash of doc_id."""
+def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Iterator[tuple[str, str]]:
+    """(text, lang) of up to about ``rows`` labelled training rows of each language and ``ROWS`` of all, chosen by a hash of doc_id.
+
+    Sorted in an executor and read row by row, so the driver never holds all texts as Python objects.
+    """
     labelled = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.filter((F.crc32("doc_id") % 3 != 1) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return []
+        return
     rows = max(1, min(rows, ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 32, int((1 << 32) * rows / n)))])
     chosen = labelled.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share[F.col("lang")]) & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    found = chosen.withColumn("_order", F.xxhash64("doc_id", "text", "lang")).orderBy("_order").limit(2 * rows * len(counts)).collect()
-    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
+    found = chosen.withColumn("_order", F.xxhash64("doc_id", "text", "lang")).orderBy("_order").limit(2 * rows * len(counts))
+    for r in found.sortWithinPartitions("doc_id", "lang", "text").toLocalIterator():  # the limit leaves one partition
+        yield r["text"], r["lang"]
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 7) -> Model:
+def train(rows: Iterable[tuple[str, str]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 7) -> Model:
     """Fit a model; a fifth of the rows is held back for the temperature."""
-    rows = [(h, lang) for text, lang in rows if (h := ngrams(text)) is not None]
-    languages = sorted({lang for _, lang in rows})
+    rows = [(*counted(h), lang) for text, lang in rows if (h := ngrams(text)) is not None]
+    languages = sorted({lang for *_, lang in rows})
     size, k = 1 << BITS, len(languages)
     model = Model(languages, np.zeros(size), np.zeros((size, k)), np.zeros(k))
     if not rows:
         return model
     seen = np.zeros(size)
-    for h, _ in rows:
-        there = np.zeros(size, bool)
-        there[h] = True
-        seen += there
+    for at, *_ in rows:
+        seen[at] += 1
     model.idf = np.log((1 + len(rows)) / (1 + seen)) + 1
     model.seen = seen > 0
-    data = [(*model.features(h), languages.index(lang)) for h, lang in rows]
+    data = []
+    for i, (at, counts, lang) in enumerate(rows):
+        data.append((at, model.weighted(at, counts), languages.index(lang)))
+        rows[i] = None
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     held = order[: len(data) // 5]
@@ -174,7 +189,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 0.5, beta
             return float((np.log(np.exp(s).sum(axis=1)) - (target * s).sum(axis=1)).mean())
 
         model.temperature = float(min(np.exp(np.linspace(np.log(0.002), np.log(10), 172)), key=loss))
-        model.usual = float(np.quantile([model.known(rows[i][0]) for i in held], 0.01))
+        model.usual = float(np.quantile([model.known(data[i][0]) for i in held], 0.01))
     return model
 
 

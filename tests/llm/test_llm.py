@@ -76,6 +76,22 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_by_rounds_and_by_one_task(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 400)] + [(5000, i) for i in range(1000, 1100)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(120)]
+    df, found, jobs = spark.createDataFrame(edges, "a long, b long").repartition(5).cache(), [], []
+    for whole in (0, 150, components.CHUNK):  # only rounds; one task after the first round; one task
+        spark.sparkContext.setJobGroup(f"components {whole}", "")
+        found.append(sorted(tuple(r) for r in components.components(df, hub=3, whole=whole).collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {whole}")))
+    spark.sparkContext.setJobGroup("tests", "")
+    near = {x for e in edges for x in e} - {n for n, _ in found[0]}
+    assert found[0] == found[1] == found[2] and all(r in near and r < n for n, r in found[0])
+    assert jobs[2] <= 8 and jobs[2] < jobs[0] / 2  # each job and stage of a round is on the driver
+    with pytest.raises(ValueError, match="at most"):
+        components.components(df, whole=components.CHUNK + 1)
+
+
 def test_tiles_meet_once(spark):
     rows = spark.createDataFrame([(1, i, i % 7) for i in range(50)] + [(2, i, 0) for i in range(5)], "k int, x int, w int")
     dealt = tiles.deal(rows, "k", "x", "w", 2, 8).collect()
@@ -894,3 +910,17 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(session("local-cluster[3,2,1024]"))
     assert os.path.isdir(common.shared_folder(session("local[4]")))
+
+
+def test_language_training_holds_no_texts():
+    import tracemalloc
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(300)]
+    texts = [(" ".join(rng.choices(words, k=3000))[:15_000], lang) for lang in ("aa", "bb") for _ in range(150)]
+    langid.ngrams("a")  # the table of letters
+    tracemalloc.start()
+    model = langid.train(iter(texts), epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ["aa", "bb"] and peak < 25e6  # all n-grams in a row would be 54 MB
